@@ -78,8 +78,8 @@ def two_level(df: DataFrame, keys: list[str], bucket: str, order: list[Column],
     running = running or {}
     stats = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{a}") for a, c in running.items()])
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    base = stats.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(bucket).alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), *[F.coalesce(F.sum(f"_s_{a}").over(before), F.lit(0)).alias(f"_base_{a}") for a in running])
-    on = F.col(bucket).eqNullSafe(F.col("_b"))
+    base = stats.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(bucket).alias("_bucket"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), *[F.coalesce(F.sum(f"_s_{a}").over(before), F.lit(0)).alias(f"_base_{a}") for a in running])
+    on = F.col(bucket).eqNullSafe(F.col("_bucket"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
@@ -88,5 +88,5 @@ def two_level(df: DataFrame, keys: list[str], bucket: str, order: list[Column],
         df.join(base, on)
         .withColumn(rank, F.col("_base") + F.row_number().over(inside) - 1)
         .withColumns({a: F.col(f"_base_{a}") + F.coalesce(F.sum(c).over(so_far), F.lit(0)) for a, c in running.items()})
-        .drop("_base", "_b", *[f"_k_{k}" for k in keys], *[f"_base_{a}" for a in running])
+        .drop("_base", "_bucket", *[f"_k_{k}" for k in keys], *[f"_base_{a}" for a in running])
     )

@@ -272,7 +272,7 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for x in spans or ():
+    for x in () if spans is None else spans:
         if out and x["start"] <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], x["end"]))
         else:
@@ -315,7 +315,7 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return texts.combine(spans, lambda t, s: t if s is None or t is None else kept_bytes(t.encode(), merged(s)).decode("utf-8", "ignore"))
+        return pd.Series([t if s is None or t is None else kept_bytes(t.encode(), merged(s)).decode("utf-8", "ignore") for t, s in zip(texts, spans, strict=True)], dtype=object)
 
     row = F.col("_row")
     changed = {"text": F.when(F.col("spans").isNull(), row["text"]).otherwise(kept(row["text"], F.col("spans")))}
