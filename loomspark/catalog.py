@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from loomspark.queries import graphs, retrieval, texts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | graphs.QUERIES | texts.QUERIES
+ORACLES: dict[str, str] = retrieval.ORACLES | graphs.ORACLES | texts.ORACLES
