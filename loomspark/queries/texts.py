@@ -224,7 +224,7 @@ def span_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """T11 as a join: events whose ten minutes meet another of the user's. Spans of one length: only neighbours in time need to be compared."""
     e = read_table(spark, f"{d}/events.parquet")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    near = lambda other: F.coalesce(F.abs(F.unix_micros("ts") - F.unix_micros(other)) < 600_000_000, F.lit(False))
+    near = lambda other: F.coalesce(F.abs(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col(other).cast("timestamp"))) < 600_000_000, F.lit(False))
     return e.withColumns({"_p": F.lag("ts").over(w), "_n": F.lead("ts").over(w)}).where(near("_p") | near("_n")).select("event_id")
 
 
