@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialise, utf8
+from loomspark.llm.common import discard, materialise, utf8
 
 ANCHOR = 32
 PART = 1 << 18
@@ -177,7 +177,7 @@ def _slices(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def piece_rows(open_runs: DataFrame, length: int) -> DataFrame:
-    """open_runs: (doc, pos, weight, data). Rows of ROWS and data for the pieces of each run."""
+    """open_runs: (doc, pos, weight, data). Rows of ROWS for the pieces of each run, and place: how far in the run a piece begins."""
     h = 1 << ((length - PIECE + 1).bit_length() - 1)
 
     def three(x: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
@@ -202,12 +202,10 @@ def piece_rows(open_runs: DataFrame, length: int) -> DataFrame:
                 name = (name & ~U((1 << N_BITS) - 1)) | n.astype(U)
                 run = pair_name(three(x[h], at, n + length - 1), (distance[first].astype(U) << U(20)) + n.astype(U))
                 take = pa.array(own)
-                raw = data.tobytes()
-                texts = pa.array([raw[s:e] for s, e in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)], pa.binary())
                 pos = np.asarray(part.column(1))[own] + place[first]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(pos), pa.array(name.view(np.int64)), pa.array(run.view(np.int64)), part.column(2).take(take), texts], ["doc", "pos", "name", "run", "weight", "data"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(pos), pa.array(name.view(np.int64)), pa.array(run.view(np.int64)), part.column(2).take(take), pa.array(place[first].astype(np.int32))], ["doc", "pos", "name", "run", "weight", "place"])
 
-    return open_runs.mapInArrow(scan, ROWS + ", data binary")
+    return open_runs.mapInArrow(scan, ROWS + ", place int")
 
 
 def window_rows(open_pieces: DataFrame, length: int) -> DataFrame:
@@ -233,38 +231,46 @@ def _windows(column: str = "name"):
     return F.col(column).bitwiseAND((1 << N_BITS) - 1)
 
 
-def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows: ROWS, in a written table. (Rows (doc, pos, n) whose bytes are met again, rows (doc, pos, weight) still open).
+def settle(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows: ROWS and ``more`` columns, in a written table. (Rows (doc, pos, n) whose bytes are met again, rows (doc, pos, more, weight, n) still
+    open, the written table of classes behind both).
 
     A class is the rows of equal bytes. A class that weighs two or more is repeated. Of each class that shares its name with others one row stays
     open, unless all of them are settled; it weighs two if its own class is, as then it only serves the others.
     """
-    classes = materialise(rows.groupBy("name", "run").agg(F.sum("weight").alias("c"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc", "pos")).alias("one")), "classes")
+    classes = materialise(rows.groupBy("name", "run").agg(F.sum("weight").alias("c"), F.min(F.struct("doc", "pos", *more)).alias("one")), "classes")
     mixed = classes.groupBy(_name().alias("short")).agg(F.count(F.lit(1)).alias("_k"), F.min("c").alias("_least")).where("_k > 1 and _least = 1").select("short")
-    still = classes.join(mixed, _name() == F.col("short"), "left_semi").select("one.doc", "one.pos", F.when(F.col("c") > 1, 2).otherwise(1).alias("weight"), _windows().alias("n"))
+    still = classes.join(mixed, _name() == F.col("short"), "left_semi").select("one.*", F.when(F.col("c") > 1, 2).otherwise(1).alias("weight"), _windows().alias("n"))
     again = rows.where("weight = 1").join(classes.where("c > 1").select("name", "run"), ["name", "run"], "left_semi").select("doc", "pos", _windows().alias("n"))
-    return again, still
+    return again, still, classes
 
 
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
-    """Rows (doc, th, spans): sorted (start, end) bytes of each text that has any, to be removed."""
+    """Rows (doc, th, spans): sorted (start, end) bytes of each text that has any, to be removed. Tables go as soon as they have served."""
     if not PIECE * 4 + ANCHOR <= length < 1 << (N_BITS - 1):
         raise ValueError("length is out of range")
     start = F.col("pos").bitwiseAND((1 << 32) - 1)
     runs = run_rows(texts, length)
     shared = runs.groupBy(_name().alias("short")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("short")
     runs = materialise(runs.join(shared, _name() == F.col("short"), "left_semi").withColumn("weight", F.lit(1)), "runs")
-    of_runs, still = settle(runs)
+    of_runs, still, classes = settle(runs)
+    of_runs = materialise(of_runs, "spans")
     of_text = still.withColumns({"th": F.shiftright("pos", 32).cast("int"), "start": start}).groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "start", "n", "weight")).alias("runs"))
     one_text = texts.select("doc", "th", "data").join(of_text, ["doc", "th"]).select("doc", "data", F.explode("runs").alias("r"))
     cut = F.substring(F.col("data"), (F.col("r.start") + 1).cast("int"), (F.col("r.n") + length - 1).cast("int"))
-    open_runs = one_text.select("doc", "r.pos", "r.weight", cut.alias("data"))
+    open_runs = materialise(one_text.select("doc", "r.pos", "r.weight", cut.alias("data")), "open-runs")
+    discard(runs, classes)
     pieces = materialise(piece_rows(open_runs, length), "pieces")
-    of_pieces, still = settle(pieces.drop("data"))
-    open_pieces = pieces.drop("weight").join(still.drop("n"), ["doc", "pos"]).select("doc", "pos", "weight", "data")
+    of_pieces, still, classes = settle(pieces, "place")
+    of_pieces = materialise(of_pieces, "spans")
+    piece = F.substring(F.col("data"), F.col("place") + 1, (F.col("n") + length - 1).cast("int"))
+    at = still.withColumn("run_pos", F.col("pos") - F.col("place"))
+    open_pieces = at.join(open_runs.select("doc", F.col("pos").alias("run_pos"), "data"), ["doc", "run_pos"]).select("doc", "pos", "weight", piece.alias("data"))
     windows = materialise(window_rows(open_pieces, length), "windows")
+    discard(pieces, classes, open_runs)
     pairs = windows.groupBy("name", "run").agg(F.sum("weight").alias("_c")).where("_c > 1").select("name", "run")
-    of_windows = windows.where("weight = 1").join(pairs, ["name", "run"], "left_semi").select("doc", "pos", F.lit(1).cast("long").alias("n"))
+    of_windows = materialise(windows.where("weight = 1").join(pairs, ["name", "run"], "left_semi").select("doc", "pos", F.lit(1).cast("long").alias("n")), "spans")
+    discard(windows)
     spans = of_runs.union(of_pieces).union(of_windows)
     spans = spans.select("doc", F.shiftright("pos", 32).cast("int").alias("th"), F.struct(start.alias("start"), (start + F.col("n") + length - 1).alias("end")).alias("span"))
     return spans.groupBy("doc", "th").agg(F.array_sort(F.collect_list("span")).alias("spans"))
