@@ -59,6 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_packing, op4_warc, op5_substring, op6_topk, op7_chat, op8_license, op9_urlfilter, op10_quality)}
 
 _WORDS = r"[^\x20\x09-\x0D]+"
+_MARKS = ", ".join("'" + m.replace("'", "''") + "'" for m in quality.END_MARKS)
 
 ORACLES = {
     "op2_mixing": rf"""
@@ -104,4 +105,19 @@ h AS (SELECT page_id, url, fetched, arg_max(pattern, (length(pattern), pattern))
   FROM p JOIN i ON action = 'add' AND fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)
   AND (host = pattern OR ends_with(host, '.' || pattern) OR starts_with(host || '/' || path || '/', pattern || '/') AND contains(pattern, '/')) GROUP BY ALL)
 SELECT p.page_id, nullif(p.host, '') AS host, p.fetched, h.pattern IS NOT NULL AS blocked, h.category, h.pattern FROM p LEFT JOIN h USING (page_id, url, fetched)""",
+    "op10_quality": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+l AS (SELECT r, line, own, len(own) AS n, coalesce(list_sum([length(x) FOR x IN own]), 0) AS chars, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS marks
+  FROM (SELECT r, line, regexp_extract_all(line, '{_WORDS}') AS own FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE len(own) > 0),
+v AS (SELECT *, marks > 0.2::DOUBLE * n OR (length(line) - length(replace(line, '!!', ''))) / 2 > 0.5::DOUBLE * n
+  OR (n >= 5 AND NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}'))
+  OR (n <= 25 AND regexp_matches(line, '(?i){"|".join(quality.BOILERPLATE)}'))
+  OR (n < 4 AND right(own[-1], 1) NOT IN ({_MARKS})) AS fails FROM l),
+k AS (SELECT r, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines, coalesce(sum(chars) FILTER (NOT fails), 0) AS kept_chars FROM v GROUP BY r),
+g AS (SELECT r, i, array_to_string(w[i:i + 4], chr(32)) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+p AS (SELECT r, count(DISTINCT word_at)::BIGINT AS n FROM (SELECT r, unnest(range(i, i + 5)) AS word_at FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1) GROUP BY r),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars FROM d LEFT JOIN k USING (r) LEFT JOIN p USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND kept_chars >= 0.5::DOUBLE * word_chars AS kept FROM m""",
 }
