@@ -267,8 +267,12 @@ def query_terms(x: Column | str) -> Column:
 def query_phrases(x: Column | str) -> Column:
     """Distinct runs of two, three and four terms."""
     t = terms(x)
-    runs = [F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i, k=k: F.array_join(F.slice(t, i, k), " "))).otherwise(F.array().cast("array<string>")) for k in (2, 3, 4)]
-    return F.array_distinct(F.concat(*runs))
+
+    def runs(k: int) -> Column:
+        joined = F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.array_join(F.slice(t, i, k), " "))
+        return F.when(F.size(t) >= k, joined).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(runs, (2, 3, 4))))
 
 
 def sentences(x: Column | str, least: int = 18) -> Column:
