@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,17 +30,17 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import materialise, two_level
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Where a text can't be cut at blanks and line ends: other white space, or white space beside white space or at an end.
-_UNEVEN = re.compile(r"[^\S \n]|[ \n]{2}|\A[ \n]|[ \n]\Z")
-CACHE = 300_000
+#: A text is cut at blanks and line ends unless it has other white space, or NUL, which marks the cuts, or white space beside white space.
+_OTHER = re.compile("[\\0\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+CACHE = 1_000_000
 
 
 class WordEncoder:
     """Ids of whole texts through a cache of blank-led words.
 
     The byte-level pre-tokeniser starts a new token at every single blank and on both sides of a single line end, so a text without
-    other white space is the concatenation of its words; any other text is encoded in one call. The cache holds at most
-    ``CACHE`` words and is emptied when full.
+    other white space is the concatenation of its words; any other text is encoded in one call. The cache holds about
+    ``CACHE`` words and is emptied when full; it lasts as long as the worker process, which serves many tasks.
     """
 
     def __init__(self, path: str):
@@ -51,6 +53,14 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
 
+    @classmethod
+    def of_process(cls, path: str) -> WordEncoder:
+        """The process's encoder. It hangs on a module, as functions that come by value have new globals in every task."""
+        held = sys.modules.setdefault("_loomspark_encoders", types.ModuleType("_loomspark_encoders"))
+        if path not in held.__dict__:
+            held.__dict__[path] = cls(path)
+        return held.__dict__[path]
+
     def raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -58,16 +68,14 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.cache) > CACHE:
             self.cache = {}
-        cut: list[list[str] | None] = []
-        new: dict[str, None] = {}
+        cut = [split_words(t) for t in texts]
+        new: set[str] = set()
         cache = self.cache
-        for t in texts:
-            words = split_words(t)
-            cut.append(words)
+        for words in cut:
             if words is not None:
-                new.update((w, None) for w in words if w not in cache)
-        if new:
-            missing = list(new)
+                new.update(words)
+        missing = [w for w in new if w not in cache]
+        if missing:
             cache.update(zip(missing, self.raw(missing), strict=True))
         whole = iter(self.raw([t for t, w in zip(texts, cut, strict=True) if w is None]))
         return [next(whole) if w is None else b"".join(map(cache.__getitem__, w)) for w in cut]
@@ -75,16 +83,9 @@ class WordEncoder:
 
 def split_words(text: str) -> list[str] | None:
     """The words of an even text, each with its leading blank, line ends apart; None where the text isn't even."""
-    if _UNEVEN.search(text):
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or _OTHER.search(text):
         return None
-    out: list[str] = []
-    for i, line in enumerate(text.split("\n")):
-        if i:
-            out.append("\n")
-        first, *rest = line.split(" ")
-        out.append(first)
-        out += [" " + w for w in rest]
-    return out
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -98,7 +99,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = WordEncoder.of_process(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
