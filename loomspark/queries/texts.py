@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspark.functions import patterns as P
 from loomspark.functions import text as T
 from loomspark.operators import chunker, evidence, graph, lexical
+from loomspark.plans.tables import materialise
 from loomspark.queries.retrieval import bm25_topk
 from loomspark.sources.io import read_table
 
@@ -149,13 +150,13 @@ def citation_links(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def legal_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     """G1-G10 on generated legal text."""
-    return graph.build_nodes(chunker.chunk(legal_documents(spark, d))).select("node_id", "node_type", "label", "document_id", "resolution_status", "node_pos")
+    return graph.build_nodes(materialise(chunker.chunk(legal_documents(spark, d)), "chunks")).select("node_id", "node_type", "label", "document_id", "resolution_status", "node_pos")
 
 
 @query()
 def legal_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     """G6-G11 on generated legal text."""
-    return graph.build_edges(chunker.chunk(legal_documents(spark, d))).select("edge_id", "source", "target", "edge_type", "relationship", "reference_count", "edge_pos")
+    return graph.build_edges(materialise(chunker.chunk(legal_documents(spark, d)), "chunks")).select("edge_id", "source", "target", "edge_type", "relationship", "reference_count", "edge_pos")
 
 
 @query("SELECT count(*)::BIGINT AS n_chunks, min(length(text))::INT AS min_chars, max(length(text))::INT AS max_chars, round(avg(length(text)), 2) AS avg_chars, count(DISTINCT source)::BIGINT AS n_documents FROM documents")
