@@ -130,3 +130,24 @@ def keep_good(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text
     """The rows whose verdict is kept, unchanged."""
     mark = "_loomspark_quality"
     return docs.withColumn(mark, quality_of(rules)(F.col(text))).where(F.col(mark)["kept"]).drop(mark)
+
+
+def cleaned_of(rules: LineRules = LineRules()):
+    """A vectorised function: text column -> the cleaned text of kept documents, null for the others."""
+
+    @F.pandas_udf("string")
+    def cleaned(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([clean_text(t, rules) if measure(t, rules)[-1] else None for t in texts], dtype=object)
+
+    return cleaned.asNondeterministic()  # else Spark runs it once for the filter and again for the text
+
+
+def keep_cleaned(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
+    """The rows whose verdict is kept, without the lines that fail. n_chars, where present, follows the text."""
+    mark = "_loomspark_cleaned"
+    out = docs.withColumn(mark, cleaned_of(rules)(F.col(text))).where(F.col(mark).isNotNull())
+    changed = {text: F.col(mark)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length(mark).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -57,6 +57,17 @@ def texts():
     return [*out, out[3], "", "too short", "A | B | C | D " * 20]
 
 
+def test_failing_lines_of_kept_documents_are_taken_out(spark):
+    good = ["The cat sat on the mat near the door.", "Then it slept for a long while, as cats do.", ""]
+    bad = ["Home | About | Contact us", "All rights reserved.", "Wow!! Now!!", "READ THIS NOW OR ELSE DEAR", "Menu"]
+    rows = ["\n".join(x) for x in (good, [bad[0], *good, bad[1]], [good[0], bad[2], good[1], bad[3]], [good[0], bad[4], "", good[1]], bad)] + [None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars int")
+    got = pipe.quality_rules(spark, docs, "")
+    want = {i: "\n".join(x for x in t.split("\n") if x not in bad) for i, t in enumerate(rows[:4])}
+    assert got.schema["n_chars"].dataType == docs.schema["n_chars"].dataType and got.columns == docs.columns
+    assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {i: (t, len(t)) for i, t in want.items()}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_against_sql(spark, duck: duckdb.DuckDBPyConnection, name):  # noqa: F811
     df = queries.QUERIES[name](spark, SF)
