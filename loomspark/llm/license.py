@@ -9,7 +9,10 @@ with the family's notices (share of a notice's 3-grams that the paragraph holds)
 The model is small (its vocabulary is the n-grams of ``NOTICES`` and ``ORDINARY``) and goes to tasks with the function. A paragraph without
 any word of the vocabulary has the bias alone to go by, which says "none".
 
-Defined results: a null or empty text has no paragraphs. Paragraphs are lines with a word; a text of any length is scanned whole.
+A notice wrapped over lines is found in windows of at most ``WINDOW`` words over neighbouring lines, up to a blank line, judged and confirmed in the
+same way; lines inside a found notice are not counted as unknown.
+
+Defined results: a null or empty text has no paragraphs. n_paragraphs counts lines that are not blank; a text of any length is scanned whole.
 Repeated rows give repeated rows; empty tables give empty results. Other columns are not read.
 """
 
@@ -183,20 +186,84 @@ def train(seed: int = 3, rounds: int = 400, rate: float = 2.0, decay: float = 1e
 SCHEMA = "doc_id long, n_paragraphs long, n_licences long, n_unknown long, families string, main_family string"
 
 
+WINDOW = 64  # words
+
+
+@cache
+def _openings() -> frozenset[str]:
+    return frozenset(g for family in NOTICES for n in _notice_grams(family) for g in n)
+
+
+def share_held(words: list[str], family: str) -> float:
+    """The greatest share of the 3-grams of one of the family's notices that the words hold."""
+    own = {" ".join(words[i : i + 3]) for i in range(len(words) - 2)}
+    return max(len(n & own) / len(n) for n in _notice_grams(family))
+
+
+def notices_in(run: list[str], judged: list[str], model: Model, seen: dict[str, str]) -> tuple[list[str], int]:
+    """run: neighbouring lines with words; judged: the family of each. (families of the notices, lines left unknown).
+
+    Candidates are lines with a family, and windows over line ends, from a 3-gram of a notice to another at most WINDOW words on. Of
+    candidates that overlap, the one that holds most of its notice stays, then the one over fewer lines, then the first.
+    """
+    words, line_of = [], []
+    for i, line in enumerate(run):
+        own = words_of(line)
+        words += own
+        line_of += [i] * len(own)
+    known = _openings()
+    hits = [i for i, g in enumerate(map(" ".join, zip(words, words[1:], words[2:], strict=False))) if g in known]
+    bounds: dict[int, tuple[int, int]] = {}
+    for i, at in enumerate(line_of):
+        bounds[at] = (bounds.get(at, (i, i))[0], i + 1)
+    found = []
+    for at, family in enumerate(judged):
+        if family not in (NONE, UNKNOWN):
+            own = [h for h in hits if bounds[at][0] <= h and h + 3 <= bounds[at][1]]
+            s, e = (own[0], own[-1] + 3) if own else bounds[at]
+            found.append((-share_held(words[s:e], family), 0, s, e, family))
+    for x, s in enumerate(hits):
+        ends: dict[int, int] = {}
+        for h in hits[x:]:
+            if h + 3 - s > WINDOW:
+                break
+            if line_of[h + 2] > line_of[s]:
+                ends[line_of[h + 2]] = h + 3
+        for at, e in ends.items():
+            window = " ".join(words[s:e])
+            if window not in seen:
+                seen[window] = model.family(window)[0]
+            if seen[window] not in (NONE, UNKNOWN):
+                found.append((-share_held(words[s:e], seen[window]), at - line_of[s], s, e, seen[window]))
+    taken: list[tuple[int, int, str]] = []
+    for _, _, s, e, family in sorted(found):
+        if all(e <= s2 or e2 <= s for s2, e2, _ in taken):
+            taken.append((s, e, family))
+    inside = {line_of[i] for s, e, _ in taken for i in range(s, e)}
+    return [f for _, _, f in taken], sum(f == UNKNOWN and i not in inside for i, f in enumerate(judged))
+
+
 def scan(text: str, model: Model) -> tuple[int, int, int, str, str | None]:
     found: Counter[str] = Counter()
     paragraphs = unknown = 0
     seen: dict[str, str] = {}
-    for line in text.split("\n"):
-        if not line or line.isspace():
-            continue
-        paragraphs += 1
-        if line not in seen:
-            seen[line] = model.family(line)[0] if any(w in model.vocabulary for w in words_of(line)) else NONE
-        if seen[line] == UNKNOWN:
-            unknown += 1
-        elif seen[line] != NONE:
-            found[seen[line]] += 1
+    run: list[str] = []
+    judged: list[str] = []
+    for line in [*text.split("\n"), ""]:
+        if line and not line.isspace():
+            paragraphs += 1
+            if line not in seen:
+                seen[line] = model.family(line)[0] if any(w in model.vocabulary for w in words_of(line)) else NONE
+            run.append(line)
+            judged.append(seen[line])
+        elif run:
+            if len(run) == 1:
+                families, n = [f for f in judged if f not in (NONE, UNKNOWN)], judged.count(UNKNOWN)
+            else:
+                families, n = notices_in(run, judged, model, seen)
+            found.update(families)
+            unknown += n
+            run, judged = [], []
     main = min(found, key=lambda f: (-found[f], f)) if found else None
     return paragraphs, sum(found.values()), unknown, ",".join(sorted(found)), main
 

@@ -18,3 +18,15 @@ def test_scan(spark):
     got = sorted(((r.doc_id or 0, r.n_paragraphs, r.n_licences, r.families, r.main_family) for r in lic.licence_scan(df).collect()), key=str)
     assert got == [(0, 1, 0, "", None), (1, 2, 1, "MIT", "MIT"), (1, 3, 3, "CC-BY-NC,Proprietary", "Proprietary"), (2, 0, 0, "", None), (3, 0, 0, "", None), (4, 1, 0, "", None)]
     assert lic.licence_scan(df.where("false")).count() == 0
+
+
+def test_wrapped_notices():
+    model = lic.train()
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights'
+    for family, notice in (("BSD", bsd), ("GPL", gpl), ("MIT", mit)):
+        for text in (notice, f"Some prose here.\n\n{notice}\n\nMore prose.", f"Some prose here.\n{notice}", "\n".join(" * " + x for x in notice.split("\n"))):
+            assert lic.scan(text, model)[1:] == (1, 0, family, family), (text, lic.scan(text, model))
+    assert lic.scan(f"{bsd}\n\n{gpl}\nReleased under the MIT License.", model)[1:4] == (3, 0, "BSD,GPL,MIT")
+    assert lic.scan("The general public may use\nthe library free of charge.", model)[1] == 0
