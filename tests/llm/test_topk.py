@@ -1,6 +1,9 @@
 import math
 import random
 
+import numpy as np
+import pytest
+
 from loomspark.llm import topk as t
 
 
@@ -22,6 +25,29 @@ def test_against_brute_force(spark, monkeypatch):
     rows += [(1000 + i, [0.25] * 6) for i in range(60)]
     df = spark.createDataFrame([(a, b, 0) for a, b in rows], "vec_id long, embedding array<float>, rank int")
     f32 = [(r_.vec_id, r_.embedding) for r_ in df.collect()]
-    got = [(x.query_id, x["rank"], x.vec_id, x.score) for x in t.top_k(df, block=64, query_block=4).collect()]
+    monkeypatch.setattr(t, "BLOCK", 16)
+    monkeypatch.setattr(t, "TILE", 3)
+    got = [(x.query_id, x["rank"], x.vec_id, x.score) for x in t.top_k(df, strip=64, query_block=4).collect()]
     assert sorted(got, key=str) == brute(f32, 5, 50)
     assert t.top_k(df.where("false")).count() == 0
+
+
+def test_bounds_close_and_hold():
+    """Reading stops early on long lists, and no candidate of the k best is lost; carried bounds leave blocks unread."""
+    r = np.random.default_rng(1)
+    v = np.floor(256 * r.normal(0, 0.125, (4 * t.BLOCK, 64))).astype(np.int64)
+    q, _, row, score = t.strip_top(np.arange(0, len(v), 64), v[::64], np.arange(len(v)), np.arange(len(v)), v, 5)
+    s = v[::64] @ v.T
+    s[np.arange(len(s)), np.arange(0, len(v), 64)] = np.iinfo(np.int64).min
+    assert (score.reshape(-1, 5) == np.sort(s, axis=1)[:, ::-1][:, :5]).all()
+    lists = t.SortedLists(v[: t.BLOCK])
+    own = np.full(len(s), -1)
+    at, _ = lists.in_question(v[::64].astype(float), 5, score.reshape(-1, 5)[:, 4].astype(float), own)
+    assert len(at) < 0.1 * len(s) * t.BLOCK
+    assert not len(lists.in_question(v[::64].astype(float), 5, np.full(len(s), 1e9), own)[0])
+
+
+def test_a_score_beyond_a_long_is_an_error():
+    big = np.full((2, 4), 1 << 40)
+    with pytest.raises(ValueError):
+        t.strip_top(np.arange(2), big, np.arange(2), np.arange(2), big, 5)
