@@ -1,8 +1,8 @@
 """Packing token sequences by exact-complement hashing, then best fit.
 
 Lengths are integers up to the capacity, so the corpus is packed through its length histogram, at most ``capacity``
-counts whatever the corpus. For each length from the longest down, the gap is looked up among the single, pair and triple sums
-of the lengths still available; a combination that fills it exactly is consumed as often as its counts allow. What has no
+counts whatever the corpus. For each length from the longest down, the gap is looked up in an index of the single, pair and triple sums
+of the lengths still available (``SumIndex``); a combination that fills it exactly is consumed as often as its counts allow. What has no
 exact complement goes best fit, longest first. The plan is a list of patterns with multiplicities; documents
 are ranked within their length (two-level, so a hot length is no single task) and look their sequence up in it.
 
@@ -32,15 +32,17 @@ from loomspark.llm.common import materialise, two_level
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: A text is cut at blanks and line ends unless it has other white space, or NUL, which marks the cuts, or white space beside white space.
 _OTHER = re.compile("[\\0\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHE = 1_000_000
+#: Bytes that the cache may take (words, ids and what Python needs beside them), characters of the longest word it keeps, and characters encoded at once.
+CACHE, LONGEST, AT_ONCE = 256 << 20, 64, 4 << 20
 
 
 class WordEncoder:
-    """Ids of whole texts through a cache of blank-led words.
+    """Ids of whole texts, as the tokenizer file gives them with add_special_tokens=False, through a cache of blank-led words.
 
     The byte-level pre-tokeniser starts a new token at every single blank and on both sides of a single line end, so a text without
-    other white space is the concatenation of its words; any other text is encoded in one call. The cache holds about
-    ``CACHE`` words and is emptied when full; it lasts as long as the worker process, which serves many tasks.
+    other white space is the concatenation of its words. A text that holds the string of an added token (it becomes that token's id), a word
+    of over ``LONGEST`` characters or other white space is encoded in one call. The cache holds at most ``CACHE`` bytes and what one
+    text adds, and is emptied when full; it lasts as long as the worker process, which serves many tasks.
     """
 
     def __init__(self, path: str):
@@ -50,8 +52,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.size = 0
 
     @classmethod
     def of_process(cls, path: str) -> WordEncoder:
@@ -64,11 +67,30 @@ class WordEncoder:
     def raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, text: str) -> list[str] | None:
+        """The words that may be encoded one by one, or None."""
+        if any(t in text for t in self.added):
+            return None
+        words = split_words(text)
+        return words if words is None or max(map(len, words)) <= LONGEST else None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        cut = [split_words(t) for t in texts]
+        out: list[bytes] = []
+        part: list[str] = []
+        size = 0
+        for text in texts:
+            if part and size + len(text) > AT_ONCE:
+                out += self._encode(part)
+                part, size = [], 0
+            part.append(text)
+            size += len(text)
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if self.size > CACHE:
+            self.cache, self.size = {}, 0
+        cut = list(map(self.words, texts))
         new: set[str] = set()
         cache = self.cache
         for words in cut:
@@ -76,7 +98,9 @@ class WordEncoder:
                 new.update(words)
         missing = [w for w in new if w not in cache]
         if missing:
-            cache.update(zip(missing, self.raw(missing), strict=True))
+            got = self.raw(missing)
+            cache.update(zip(missing, got, strict=True))
+            self.size += sum(4 * len(w) + len(ids) + 200 for w, ids in zip(missing, got, strict=True))
         whole = iter(self.raw([t for t, w in zip(texts, cut, strict=True) if w is None]))
         return [next(whole) if w is None else b"".join(map(cache.__getitem__, w)) for w in cut]
 
@@ -113,59 +137,113 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
 
-def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """(multiplicity, lengths) of the sequences that hold counts[length] items of each length."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for n, c in counts.items():
-        left[n] = c
-    out: list[tuple[int, list[int]]] = []
-    size = 1 << (2 * capacity).bit_length()
-
-    def pair_sums() -> np.ndarray:
-        f = np.fft.rfft(left > 0, size)
-        return np.fft.irfft(f * f, size)[: capacity + 1] > 0.5
-
-    def pair(total: int) -> list[int] | None:
-        lows = np.arange(1, total // 2 + 1)
-        good = np.flatnonzero((left[lows] > 0) & (left[total - lows] > 0) & ((total - lows != lows) | (left[lows] > 1)))
-        return [int(total - lows[good[0]]), int(lows[good[0]])] if len(good) else None
-
-    def complement(gap: int) -> list[int] | None:
-        if left[gap] > 0:
-            return [gap]
-        if gap >= 2 and (found := pair(gap)):
-            return found
-        if gap < 3:
-            return None
-        sums = pair_sums()
-        for a in np.flatnonzero((left[1 : gap - 1] > 0) & sums[gap - 1 : 1 : -1])[::-1] + 1:
-            left[a] -= 1
-            found = pair(gap - int(a))
-            left[a] += 1
-            if found:
-                return [int(a), *found]
-        return None
+class SumIndex:
+    """The lengths still available, indexed by the sums of one, two and three of them.
 
-    def take(lengths: list[int]) -> None:
+    Singles are the counts themselves. Pairs: how many pairs of available lengths have a sum, and, for each sum asked for, the list of its
+    members (the shorter lengths), from which used-up ones are dropped as they are met. Triples: how many (length, pair) combinations have a sum.
+    When the last item of a length is consumed, the sums that it took part in are subtracted.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.left = np.zeros(capacity + 1, dtype=np.int64)
+        for n, c in counts.items():
+            self.left[n] = c
+        self.has = (self.left > 0).astype(np.int64)
+        self.pairs = np.zeros(capacity + 1, dtype=np.int64)
+        for n in np.flatnonzero(self.has):
+            self.pairs += self._pairs_with(int(n), from_n_on=True)
+        self.triples = self._folded(self.has, self.pairs)
+        self.members: dict[int, list[int]] = {}
+
+    def _folded(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        size = 1 << (2 * self.capacity + 1).bit_length()
+        return np.rint(np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size), size)[: self.capacity + 1]).astype(np.int64)
+
+    def _pairs_with(self, n: int, from_n_on: bool = False) -> np.ndarray:
+        """By sum: pairs of available lengths that hold n (and no shorter one)."""
+        out = np.zeros(self.capacity + 1, dtype=np.int64)
+        low = n if from_n_on else 0
+        out[n + low :] = self.has[low : self.capacity + 1 - n]
+        if 2 * n <= self.capacity:
+            out[2 * n] = int(self.left[n] > 1)
+        return out
+
+    def take(self, lengths: list[int]) -> int:
+        """Consume the combination as often as the counts allow; how often that is."""
         need = {n: lengths.count(n) for n in lengths}
-        times = int(min(left[n] // c for n, c in need.items()))
-        out.append((times, lengths))
+        times = min(int(self.left[n]) // c for n, c in need.items())
         for n, c in need.items():
-            left[n] -= c * times
+            self.consume(n, c * times)
+        return times
+
+    def consume(self, n: int, count: int) -> None:
+        rest = int(self.left[n]) - count
+        gone = np.zeros(self.capacity + 1, dtype=np.int64)
+        if rest == 0:
+            gone = self._pairs_with(n)
+        elif rest == 1 and self.left[n] > 1 and 2 * n <= self.capacity:
+            gone[2 * n] = 1
+        self.left[n] = rest
+        if gone.any():
+            self.triples -= self._folded(self.has, gone)
+            self.pairs -= gone
+        if rest == 0:
+            self.triples[n:] -= self.pairs[: self.capacity + 1 - n]
+            self.has[n] = 0
+
+    def single(self, total: int, held: tuple[int, ...]) -> list[int] | None:
+        return [total] if total > 0 and self.left[total] > held.count(total) else None
+
+    def pair(self, total: int, held: tuple[int, ...]) -> list[int] | None:
+        """The pair with the longest member, ``held`` items left aside."""
+        if total < 2 or not self.pairs[total]:
+            return None
+        if total not in self.members:
+            lows = np.arange(1, total // 2 + 1)
+            self.members[total] = lows[(self.has[lows] > 0) & (self.has[total - lows] > 0)][::-1].tolist()
+        own, left = self.members[total], self.left
+        at = len(own)
+        while at:
+            at -= 1
+            low, high = own[at], total - own[at]
+            if left[low] <= (low == high) or not left[high]:
+                del own[at]
+            elif left[low] > held.count(low) + (low == high) and left[high] > held.count(high):
+                return [high, low]
+        return None
+
+    def triple(self, total: int, held: tuple[int, ...]) -> list[int] | None:
+        """A triple with the longest member that there is one for."""
+        if total < 3 or not self.triples[total]:
+            return None
+        for n in np.flatnonzero((self.has[1 : total - 1] > 0) & (self.pairs[total - 1 : 1 : -1] > 0))[::-1] + 1:
+            n = int(n)
+            if self.left[n] > held.count(n) and (found := self.pair(total - n, (*held, n))):
+                return [n, *found]
+        return None
+
+    def complement(self, gap: int, held: tuple[int, ...]) -> list[int] | None:
+        """One, two or three available lengths whose sum is the gap."""
+        return self.single(gap, held) or self.pair(gap, held) or self.triple(gap, held)
 
-    if left[capacity]:
-        take([capacity])
+
+def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """(multiplicity, lengths) of the sequences that hold counts[length] items of each length."""
+    index = SumIndex(counts, capacity)
+    out: list[tuple[int, list[int]]] = []
+    if index.left[capacity]:
+        out.append((index.take([capacity]), [capacity]))
     rest: list[tuple[int, int]] = []
     for n in range(capacity - 1, 0, -1):
-        while left[n]:
-            left[n] -= 1
-            found = complement(capacity - n)
-            left[n] += 1
+        while count := int(index.left[n]):
+            found = index.complement(capacity - n, (n,))
             if found is None:
-                rest.append((n, int(left[n])))
-                left[n] = 0
+                rest.append((n, count))
+                index.consume(n, count)
             else:
-                take([n, *found])
+                out.append((index.take([n, *found]), [n, *found]))
     bins: dict[int, list[tuple[int, list[int]]]] = {}
     gaps = np.zeros(capacity + 1, dtype=bool)
 
