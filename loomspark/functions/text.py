@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -38,16 +38,31 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+#: Outside these ranges (Latin up to its accented Vietnamese letters, general punctuation, currency signs) composition may change a text.
+_MAY_COMPOSE = r"[^\x{0}-\x{2ff}\x{1e00}-\x{1eff}\x{2002}-\x{206f}\x{20a0}-\x{20cf}]"
+
+
+def composed(x: Column | str) -> Column:
+    """NFC. Only texts that composition may change go to Python."""
+    t = _c(x)
+    return F.coalesce(nfc(F.when(t.rlike(_MAY_COMPOSE), t)), t)
+
+
 def normalize_text(x: Column | str) -> Column:
-    """Line ends unified, blanks collapsed within lines, at most one empty line in a row."""
-    t = F.regexp_replace(F.regexp_replace(blank_if_null(x), r"\r\n?", "\n"), "\u00a0", " ")
+    """Composed; line ends unified, blanks collapsed within lines, at most one empty line in a row."""
+    t = F.regexp_replace(F.regexp_replace(composed(blank_if_null(x)), r"\r\n?", "\n"), "\u00a0", " ")
     lines = F.transform(F.split(t, "\n"), lambda line: F.regexp_replace(F.regexp_replace(line, r"[ \t]+", " "), r"(?U)^\s+|\s+$", ""))
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 
 
 def flatten(x: Column | str) -> Column:
-    """One line; no blank before punctuation."""
-    return F.trim(F.regexp_replace(F.regexp_replace(blank_if_null(x), SPACES, " "), r" ([,.;:!?])", "$1"))
+    """One line, composed; no blank before punctuation."""
+    return flatten_composed(composed(blank_if_null(x)))
+
+
+def flatten_composed(x: Column) -> Column:
+    """``flatten`` of text that is composed: no Python."""
+    return F.trim(F.regexp_replace(F.regexp_replace(x, SPACES, " "), r" ([,.;:!?])", "$1"))
 
 
 def clean_table(x: Column | str) -> Column:
@@ -55,9 +70,9 @@ def clean_table(x: Column | str) -> Column:
 
     def row(line: Column) -> Column:
         cells = F.filter(F.transform(F.split(line, r"\|+"), collapse), lambda c: (c != "") & ~c.rlike(r"(?U)^[-:\s]+$"))
-        return F.when(line.contains("|"), F.array_join(cells, "; ")).otherwise(flatten(line))
+        return F.when(line.contains("|"), F.array_join(cells, "; ")).otherwise(flatten_composed(line))
 
-    lines = F.filter(F.transform(F.split(blank_if_null(x), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), lambda t: t != "")
+    lines = F.filter(F.transform(F.split(composed(blank_if_null(x)), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), lambda t: t != "")
     rows = F.filter(F.transform(lines, lambda t: F.struct(t.alias("line"), row(t).alias("row"))), lambda r: ~r["line"].contains("|") | (r["row"] != ""))
     t = F.array_join(F.transform(rows, lambda r: r["row"]), ". ")
     t = F.regexp_replace(F.regexp_replace(t, SPACES, " "), r"(?:;\s*){2,}", "; ")
@@ -67,13 +82,15 @@ def clean_table(x: Column | str) -> Column:
 
 def _hard_cut(sentence: str, limit: int) -> list[str]:
     """Pieces of at most ``limit`` characters, cut at the last blank that allows it."""
-    out = []
-    while len(sentence) > limit:
-        at = sentence.rfind(" ", 0, limit + 1)
-        at = at if at > 0 else limit
-        out.append(sentence[:at].strip())
-        sentence = sentence[at:].strip()
-    return [*out, sentence]
+    out, start, end = [], 0, len(sentence)
+    while end - start > limit:
+        at = sentence.rfind(" ", start + 1, start + limit + 1)
+        at = at if at > 0 else start + limit
+        out.append(sentence[start:at].strip())
+        start = at
+        while start < end and sentence[start].isspace():
+            start += 1
+    return [*out, sentence[start:end]]
 
 
 def split_long(x: Column | str, limit: int = 3000) -> Column:
@@ -188,11 +205,15 @@ def safe_text(x: Column | str) -> Column:
     return F.when(F.lower(t).isin("none", "null", "nan", ""), "").otherwise(t)
 
 
-def text_or_placeholder(x: Column | str, placeholder: str = "[EMPTY LEGAL CHUNK]") -> Column:
+#: What stands for an empty text, and the label of contents.
+EMPTY_TEXT, CONTENT_LABEL = "[EMPTY LEGAL CHUNK]", "Nội dung"
+
+
+def text_or_placeholder(x: Column | str, placeholder: str = EMPTY_TEXT) -> Column:
     return F.coalesce(null_if_blank(safe_text(x)), F.lit(placeholder))
 
 
-def contextual_text(labels: dict[str, str], content: str, content_label: str = "Nội dung") -> Column:
+def contextual_text(labels: dict[str, str], content: str, content_label: str = CONTENT_LABEL) -> Column:
     """'label: value' lines of the columns that have a value, then the content under its own label."""
     lines = [F.when(safe_text(c) != "", F.concat(F.lit(f"{label}: "), safe_text(c))) for c, label in labels.items()]
     return F.concat_ws("\n", *lines, F.when(safe_text(content) != "", F.concat(F.lit(f"{content_label}:\n"), safe_text(content))))
@@ -226,6 +247,14 @@ def relevant_ids(x: Column | str) -> Column:
     return F.filter(F.coalesce(literal, F.transform(pieces, strip)), lambda v: v != "")
 
 
+def quoted_ids(x: Column | str) -> Column:
+    """Ids of a variant table: a list literal; where that can't be read, whatever stands in quotes; else as ``relevant_ids``."""
+    t = F.trim(blank_if_null(x))
+    listed = F.coalesce(F.from_json(F.when(t.startswith("["), t), "array<string>"), F.from_json(F.when(t.startswith("["), F.translate(t, "'", '"')), "array<string>"))
+    tokens = F.transform(F.regexp_extract_all(t, F.lit(r"""'[^']*'|"[^"]*\""""), F.lit(0)), lambda v: F.trim(F.substring(v, 2, F.length(v) - 2)))
+    return F.filter(F.coalesce(listed, F.when(F.size(tokens) > 0, tokens), relevant_ids(t)), lambda v: v.isNotNull() & (F.trim(v) != ""))
+
+
 def viewer_id(x: Column | str) -> Column:
     """Integral decimals lose their '.0'; blank becomes null."""
     t = F.trim(_c(x).cast("string"))
@@ -233,6 +262,12 @@ def viewer_id(x: Column | str) -> Column:
     return F.when(~F.lower(t).isin("", "nan", "inf", "-inf", "infinity", "-infinity"), t)
 
 
+def json_safe(df: DataFrame, *columns: str) -> Column:
+    """Columns of df as a JSON object; numbers that aren't finite become null, and nulls are told."""
+    real = {n for n, t in df.dtypes if t in ("double", "float")}
+    return F.to_json(F.struct(*[F.when(F.abs(F.col(c)) < float("inf"), F.col(c)).alias(c) if c in real else F.col(c) for c in columns]), {"ignoreNullFields": "false"})
+
+
 def first_value(*columns: str) -> Column:
     """The first that isn't blank."""
     return F.coalesce(*[null_if_blank(F.trim(F.col(c).cast("string"))) for c in columns])

@@ -27,11 +27,37 @@ def _so_far(last: int = 0) -> WindowSpec:
 
 
 def join_metadata(content: DataFrame, metadata: DataFrame) -> DataFrame:
-    """(document_id, content, metadata columns). Rows meet by id; where neither side has ids, by a stored ordinal ``row``."""
+    """(document_id, content, metadata columns). No document is dropped: what has no metadata has nulls.
+
+    Where both sides carry their stored ordinal ``row``, row i belongs to row i, and the document's id is the content's, else the metadata's,
+    else the ordinal. Else rows meet by id.
+    """
     require_columns(content, ["content"])
-    key = "id" if "id" in content.columns and "id" in metadata.columns else "row"
     have = [c for c in METADATA if c in metadata.columns]
-    return content.select(F.col(key).alias("document_id"), "content").join(metadata.select(F.col(key).alias("document_id"), *have), "document_id")
+    own = lambda df: F.col("id") if "id" in df.columns else F.lit(None).cast("long")
+    if "row" in content.columns and "row" in metadata.columns:
+        left, right = content.select("row", own(content).alias("_c"), "content"), metadata.select("row", own(metadata).alias("_m"), *have)
+        return left.join(right, "row", "left").select(F.coalesce("_c", "_m", "row").alias("document_id"), "content", *have)
+    require_columns(content, ["id"])
+    return content.select(F.col("id").alias("document_id"), "content").join(metadata.select(F.col("id").alias("document_id"), *have), "document_id", "left")
+
+
+def islands(rows: DataFrame, by: list[str], order: str, kind: str) -> DataFrame:
+    """rows with block: the running number, from 1, of the runs of equal ``kind`` in order within ``by``."""
+    w = Window.partitionBy(*by).orderBy(order)
+    rows = rows.withColumn("_change", F.when(F.lag(kind).over(w).eqNullSafe(F.col(kind)), 0).otherwise(1))
+    return rows.withColumn("block", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_change")
+
+
+def line_kind(line: str) -> Column:
+    """A line with two pipes is of a table."""
+    return F.when(F.length(line) - F.length(F.replace(F.col(line), F.lit("|"))) >= 2, "table").otherwise("text")
+
+
+def carried(rows: DataFrame, by: list[str], order: str, head: Column, value: Column) -> DataFrame:
+    """rows with no, how many heads there have been, and head_value, the last one's value."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({"no": F.sum(head.cast("int")).over(w), "head_value": F.last(F.when(head, value), ignorenulls=True).over(w)})
 
 
 def filter_sector(docs: DataFrame, sector: str) -> DataFrame:
@@ -130,11 +156,9 @@ def article_chunks(body: DataFrame, least: int = 50) -> DataFrame:
 
 def appendix_chunks(rows: DataFrame, body: DataFrame, limit: int = 3000) -> DataFrame:
     """Chunks of appendices: islands of table lines and of text lines, in pieces of at most ``limit`` characters."""
-    app = rows.where("phase = 'APPENDIX'").withColumn("no", F.sum(F.when(F.col("app_title").isNotNull(), 1).otherwise(0)).over(_so_far()))
-    app = app.withColumns({"title": F.last("app_title", ignorenulls=True).over(_so_far()), "kind": F.when(F.length("app_line") - F.length(F.replace(F.col("app_line"), F.lit("|"))) >= 2, "table").otherwise("text")}).where("app_line <> ''")
-    w = Window.partitionBy("document_id", "no").orderBy("line_no")
-    app = app.withColumn("change", F.when(F.lag("kind").over(w).eqNullSafe(F.col("kind")), 0).otherwise(1))
-    app = app.withColumn("block", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    app = carried(rows.where("phase = 'APPENDIX'"), ["document_id"], "line_no", F.col("app_title").isNotNull(), F.col("app_title"))
+    app = app.withColumnRenamed("head_value", "title").withColumn("kind", line_kind("app_line")).where("app_line <> ''")
+    app = islands(app, ["document_id", "no"], "line_no", "kind")
     g = app.groupBy("document_id", "no", "block", "kind", "title").agg(F.array_sort(F.collect_list(F.struct("line_no", "app_line"))).alias("ls"))
     text = F.array_join(F.transform("ls", lambda x: x["app_line"]), "\n")
     g = g.withColumn("content", F.when(F.col("kind") == "table", T.clean_table(text)).otherwise(T.flatten(text))).where("content <> ''")
@@ -154,6 +178,9 @@ def chunk(docs: DataFrame, least: int = 50, limit: int = 3000, sector: str | Non
 
     The links of a document's header go to its first article chunk. Null or blank content has no chunks.
     """
+    if least < 0 or limit < 1:
+        raise ValueError(f"no chunks of at least {least} and pieces of at most {limit} characters")
+    require_columns(docs, ["document_id", "content"])
     if sector is not None:
         docs = filter_sector(docs, sector)
     if "document_number" not in docs.columns:

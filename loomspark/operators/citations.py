@@ -8,6 +8,8 @@ scan. Merging and everything after it stays with built-in functions.
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left, insort
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,7 +29,7 @@ def _python(pattern: str) -> re.Pattern:
 
 
 def _flat(text: str | None) -> str:
-    return re.sub(r" ([,.;:!?])", r"\1", re.sub(r"\s+", " ", text or "")).strip()
+    return re.sub(r" ([,.;:!?])", r"\1", re.sub(r"\s+", " ", unicodedata.normalize("NFC", text or ""))).strip()
 
 
 def _number(text: str | None) -> str | None:
@@ -68,7 +70,9 @@ class Extractor:
             return x and x.lower()
 
         def free(m: re.Match) -> bool:
-            return not any(m.start() < e and m.end() > s for s, e in used)
+            """Whether a match meets none of the spans, which are disjoint and kept in order."""
+            at = bisect_left(used, m.span())
+            return (at == 0 or used[at - 1][1] <= m.start()) and (at == len(used) or used[at][0] >= m.end())
 
         for m in self.external.finditer(text):
             number = _number(m[4])
@@ -79,12 +83,12 @@ class Extractor:
                 add(m[0], relation, number, article=low(m[3]), clause=clause, point=low(m[1]))
         for m in self.internal.finditer(text):
             if free(m):
-                used.append(m.span())
+                insort(used, m.span())
                 for clause in map(str.lower, self.clause.findall(m[2])) if m[2] else [None]:
                     add(m[0], "REFERS_TO", own, article=low(m[3]), clause=clause, point=low(m[1]))
         for m in self.bare.finditer(text):
             if free(m):
-                used.append(m.span())
+                insort(used, m.span())
                 add(m[0], "REFERS_TO", own, article=low(m[1]))
         for m in self.appendix.finditer(text):
             add(m[0], "REFERS_TO", own, appendix=m[2].upper(), section=m[1].upper())
@@ -105,16 +109,22 @@ def extract_links(text: Column | str, current: Column | str, scope: Column | str
 
 def merge_links(links: Column) -> Column:
     """The first of each link by LINK_KEY, in order."""
-    key = lambda x: F.struct(*[x[k].alias(k) for k in LINK_KEY])
-    keys = F.transform(links, key)
-    return F.filter(links, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    @F.pandas_udf(f"array<{schema.LINK}>")
+    def first_ones(lists: pd.Series) -> pd.Series:
+        def one(own) -> list[dict] | None:
+            if own is None:
+                return None
+            kept: dict[tuple, dict] = {}
+            for x in own:
+                kept.setdefault(tuple(x[k] for k in LINK_KEY), x)
+            return list(kept.values())
+
+        return lists.map(one)
+
+    return first_ones(links)
 
 
 def document_relationships(docs: DataFrame, text: str = "content", key: str = "document_id") -> DataFrame:
     """(key, relationship, document_number): what a text repeals or amends."""
     links = docs.select(key, F.explode(extract_links(text, F.lit(None).cast("string"), F.lit("article"))).alias("x"))
     return links.select(key, "x.relationship", "x.document_number").where("relationship in ('REPEALS', 'AMENDS')").distinct()
-
-
-def clause_numbers(text: Column | str) -> Column:
-    return T.clause_numbers(text)

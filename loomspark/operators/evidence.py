@@ -76,24 +76,53 @@ def best_sentence(results: DataFrame) -> DataFrame:
     return ranked_evidence(results, 1).select("query_id", shortened(F.col("segment")).alias("sentence"))
 
 
-def context(ranked: DataFrame, sources: DataFrame, budget: int = 13000, per_source: int = 3) -> DataFrame:
+def sentence_of_each(results: DataFrame) -> DataFrame:
+    """(query_id, source_id, sentence): the best segment of every source on its own, judged as if it were the only one."""
+    alone = results.select(F.struct("query_id", "source_id").alias("query_id"), "query", F.lit(1).alias("source_id"), F.lit("").alias("title"), "text")
+    best = ranked_evidence(alone, 1)
+    return best.select("query_id.query_id", "query_id.source_id", shortened(F.col("segment")).alias("sentence"))
+
+
+#: What stands for unknown attributes of a source.
+NO_NUMBER, NO_TITLE, NO_ARTICLE = "Không rõ số hiệu", "Không rõ tiêu đề", "Không rõ điều/mục"
+
+
+def _or(c: str, other: str) -> Column:
+    return F.coalesce(T.null_if_blank(T.safe_text(c)), F.lit(other))
+
+
+def context(results: DataFrame, budget: int = 13000, per_source: int = 3, limit: int = 10) -> DataFrame:
     """(query_id, context): a section for each source with its evidence, until the budget is first passed; one section always fits.
 
-    sources: (query_id, source_id, document_number, title, articles).
+    results: (query_id, query, source_id, document_number, title, articles, text). A source without a place among the ``limit`` best segments
+    shows the best segment of its own; one without any text has no section.
     """
+    ranked = ranked_evidence(results, limit, per_source)
     ev = ranked.groupBy("query_id", "source_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "segment"))), lambda x: x["segment"]), 1, per_source).alias("ev"))
-    own = lambda c, other: F.coalesce(T.null_if_blank(T.safe_text(c)), F.lit(other))
     parts = F.transform("ev", lambda x, i: F.concat(F.lit("Đoạn "), (i + 1).cast("string"), F.lit(": "), F.substring(x, 1, 900)))
-    section = F.concat(F.lit('<SOURCE id="'), F.col("source_id").cast("string"), F.lit('">\nSố hiệu: '), own("document_number", "Không rõ số hiệu"), F.lit("\nTiêu đề: "), own("title", "Không rõ tiêu đề"), F.lit("\nĐiều/Mục: "), own("articles", "Không rõ điều/mục"), F.lit("\n"), F.array_join(parts, "\n"), F.lit("\n</SOURCE>"))
-    s = sources.join(ev, ["query_id", "source_id"]).select("query_id", "source_id", section.alias("section"))
+    section = F.concat(F.lit('<SOURCE id="'), F.col("source_id").cast("string"), F.lit('">\nSố hiệu: '), _or("document_number", NO_NUMBER), F.lit("\nTiêu đề: "), _or("title", NO_TITLE), F.lit("\nĐiều/Mục: "), _or("articles", NO_ARTICLE), F.lit("\n"), F.array_join(parts, "\n"), F.lit("\n</SOURCE>"))
+    s = results.join(ev, ["query_id", "source_id"], "left").join(sentence_of_each(results), ["query_id", "source_id"], "left")
+    s = s.withColumn("ev", F.coalesce("ev", F.when(F.col("sentence").isNotNull(), F.array("sentence")))).where("ev is not null").select("query_id", "source_id", section.alias("section"))
     return within_budget(s, "section", budget).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_id", "section"))), lambda x: x["section"]), "\n\n").alias("context"))
 
 
-def within_budget(rows: DataFrame, text: str, budget: int) -> DataFrame:
-    """Rows of each query in order of source_id up to the first that passes the budget of characters; the first row always stays."""
-    w = Window.partitionBy("query_id").orderBy("source_id")
+def within_budget(rows: DataFrame, text: str, budget: int, buckets: int = 256) -> DataFrame:
+    """Rows of each query in order of source_id up to the first that passes the budget of characters; the first row always stays.
+
+    Running sums are two-level: ranges of source_id within a query are summed first (map-side), so that a query with many rows is no single
+    task. Ranges lie between the query's least and greatest source_id.
+    """
+    ends = rows.groupBy(F.col("query_id").alias("_q")).agg(F.min("source_id").alias("_lo"), F.max("source_id").alias("_hi"))
+    place = F.coalesce(F.floor((F.col("source_id") - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo") + 1)), F.lit(0))
+    placed = rows.join(ends, F.col("query_id").eqNullSafe(F.col("_q"))).withColumn("_b", place)
+    before = Window.partitionBy("query_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.groupBy("query_id", "_b").agg(F.sum(F.length(text)).alias("_s"), F.count(F.lit(1)).alias("_c"))
+    base = base.select(F.col("query_id").alias("_k"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_earlier"))
+    base = base.where((F.col("_before") <= budget) | (F.col("_earlier") == 0))  # beyond these nothing fits
+    w = Window.partitionBy("query_id", "_b").orderBy("source_id")
     so_far = F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumns({"_sum": so_far, "_i": F.row_number().over(w)}).where((F.col("_sum") <= budget) | (F.col("_i") == 1)).drop("_sum", "_i")
+    out = placed.join(base, F.col("query_id").eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_kb"))).withColumns({"_sum": F.col("_before") + so_far, "_i": F.col("_earlier") + F.row_number().over(w)})
+    return out.where((F.col("_sum") <= budget) | (F.col("_i") == 1)).select(*rows.columns)
 
 
 @F.pandas_udf(StringType())
@@ -160,15 +189,71 @@ def without_source_section(answer: Column | str) -> Column:
 
 
 def attributed_sources(answers: DataFrame, results: DataFrame) -> DataFrame:
-    """(query_id, source_id, score, rank): the up to three sources nearest to an answer. answers: (query_id, answer); results: (query_id, source_id, title, articles, text)."""
+    """(query_id, source_id, score, rank): the up to three sources nearest to an answer; where none scores, the first two.
+
+    answers: (query_id, answer); results: (query_id, source_id, title, articles, text).
+    """
     own = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "articles", "text")])
     r = results.join(answers, "query_id")
     r = r.withColumn("score", F.round(0.85 * _shared(T.query_terms("answer"), T.query_terms(own)) + 0.15 / F.col("source_id"), 6))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("source_id").desc())
-    return r.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3 and score > 0").select("query_id", F.col("source_id").cast("long").alias("source_id"), "score", "rank")
+    r = r.withColumn("_any", F.max("score").over(Window.partitionBy("query_id")) > 0)
+    w = Window.partitionBy("query_id").orderBy(F.when(F.col("_any"), F.col("score")).desc_nulls_last(), F.when(F.col("_any"), -F.col("source_id")).otherwise(F.col("source_id")))
+    r = r.withColumn("rank", F.row_number().over(w).cast("long")).where((F.col("_any") & (F.col("rank") <= 3) & (F.col("score") > 0)) | (~F.col("_any") & (F.col("rank") <= 2)))
+    return r.select("query_id", F.col("source_id").cast("long").alias("source_id"), "score", "rank")
 
 
-def extractive_answer(results: DataFrame, limit: int = 4) -> DataFrame:
-    """(query_id, answer): up to four distinct segments, shortened, as a list."""
+def source_section(answers: DataFrame, results: DataFrame) -> DataFrame:
+    """(query_id, section): the sources an answer is nearest to, each with its best sentence, title and address.
+
+    results: (query_id, query, source_id, document_number, title, articles, url, text).
+    """
+    named = attributed_sources(answers, results).join(results, ["query_id", "source_id"]).join(sentence_of_each(results), ["query_id", "source_id"], "left")
+    quote = F.coalesce("sentence", F.substring(T.collapse("text"), 1, 360))
+    lines = F.concat_ws(
+        "\n",
+        F.concat(F.lit("- [Nguồn "), F.col("source_id").cast("string"), F.lit("] "), _or("document_number", NO_NUMBER), F.lit(" — "), _or("articles", NO_ARTICLE), F.lit(".")),
+        F.concat(F.lit("  Trích đoạn: “"), quote, F.lit("”")),
+        F.concat(F.lit("  Văn bản: "), _or("title", NO_TITLE)),
+        F.when(T.safe_text("url") != "", F.concat(F.lit("  URL: "), T.safe_text("url"))),
+    )
+    one = named.select("query_id", F.struct("rank", lines.alias("x")).alias("x"))
+    return one.groupBy("query_id").agg(F.concat(F.lit("Nguồn trích dẫn:\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["x"]), "\n")).alias("section"))
+
+
+def extractive_answer(results: DataFrame, limit: int = 7, most: int = 4) -> DataFrame:
+    """(query_id, answer): a conclusion from the best segment and up to three more as a list; queries whose results have no text say so.
+
+    The ``limit`` best segments are shortened, and the first ``most`` distinct ones are told.
+    """
     ranked = ranked_evidence(results, limit)
-    return ranked.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source_id", "segment"))), lambda x: F.concat(F.lit("- "), shortened(x["segment"]), F.lit(" ["), x["source_id"].cast("string"), F.lit("]"))), "\n").alias("answer"))
+    own = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "segment"))), lambda x: shortened(x["segment"])), 1, most)
+    told = ranked.groupBy("query_id").agg(own.alias("s"))
+    dotted = lambda x: F.concat(F.rtrim(x, F.lit(".")), F.lit("."))
+    more = F.transform(F.slice("s", F.lit(2), F.lit(most)), lambda x: F.concat(F.lit("- "), dotted(x)))
+    alone = F.array(F.lit("- Phạm vi áp dụng cần được đối chiếu với số hiệu, địa phương và thời kỳ của văn bản trong phần nguồn trích dẫn."))
+    body = F.concat(F.lit("Kết luận:\nDựa trên tài liệu được truy xuất, "), dotted(F.col("s")[0]), F.lit("\n\nThông tin chính:\n"), F.array_join(F.when(F.size("s") > 1, more).otherwise(alone), "\n"))
+    empty = "Kết luận:\nKhông có nội dung văn bản để tổng hợp.\n\nThông tin chính:\n- Kết quả retrieval không chứa nội dung chunk."
+    return results.select("query_id").distinct().join(told, "query_id", "left").select("query_id", F.coalesce(F.when(F.col("s").isNotNull(), body), F.lit(empty)).alias("answer"))
+
+
+#: Fixed value: the answer where no result has a text.
+NOTHING = "Không thể sinh câu trả lời vì các kết quả retrieval không có nội dung chunk."
+
+
+def answers(results: DataFrame, generated: DataFrame | None = None) -> DataFrame:
+    """(query_id, answer): a generated answer where a valid one is given, else an extracted one, without sources of its own and with those it is nearest to.
+
+    results: as in ``source_section``; generated: (query_id, generated), from any model. Results without text don't count.
+    """
+    usable = results.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    have = has_evidence(ranked_evidence(usable, 1))
+    texts = usable.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source_id", "text"))), lambda x: x["text"]).alias("texts"))
+    base = extractive_answer(usable).join(texts, "query_id").join(have, "query_id", "left").withColumn("has_evidence", F.coalesce("has_evidence", F.lit(False)))
+    if generated is None:
+        chosen = F.col("answer")
+    else:
+        base = base.join(generated.groupBy("query_id").agg(F.min("generated").alias("generated")), "query_id", "left").withColumn("cleaned", clean_answer(F.coalesce("generated", F.lit(""))))
+        chosen = F.when(answer_is_valid("cleaned", "texts", "has_evidence"), F.col("cleaned")).otherwise(F.col("answer"))
+    picked = base.select("query_id", without_source_section(chosen).alias("answer"))
+    full = picked.join(source_section(picked, usable), "query_id").select("query_id", F.concat("answer", F.lit("\n\n"), "section").alias("answer"))
+    return results.select("query_id").distinct().join(full, "query_id", "left").select("query_id", F.coalesce("answer", F.lit(NOTHING)).alias("answer"))

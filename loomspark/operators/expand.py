@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspark import schema
 from loomspark.functions import text as T
-from loomspark.plans.tables import materialise
+from loomspark.plans.tables import discard, materialise
 
 
 def adjacency(edges: DataFrame, direction: str = "both", weight: str | None = None) -> DataFrame:
@@ -35,27 +35,41 @@ def chunk_nodes(nodes: DataFrame) -> DataFrame:
 def visits(seeds: DataFrame, mapping: DataFrame, adj: DataFrame, max_hops: int = 2, decay: float = 0.65) -> DataFrame:
     """(query_id, walk, node_id, hop, score, seed_rank, place): the first visit of each node in each walk.
 
-    seeds: (query_id, chunk_id, score, rank). A walk starts at one node of one seed. ``place`` is an array that sorts as the queue did.
+    seeds: (query_id, chunk_id, score, rank). A walk starts at one node of one seed. ``place`` is an array that sorts as the queue did. Each
+    hop is a written table, so plans don't grow with hops.
     """
     start = seeds.join(mapping, "chunk_id").select("query_id", F.concat_ws("\x1f", F.col("chunk_id"), F.col("node_id")).alias("walk"), "node_id", F.lit(0).alias("hop"), F.col("score").cast("double").alias("score"), F.col("rank").cast("long").alias("seed_rank"), "node_pos", F.array(F.lit(0).cast("long")).alias("place"))
-    seen = frontier = start
+    seen = frontier = materialise(start, "hop")
     for hop in range(1, max_hops + 1):
         step = frontier.join(adj, frontier["node_id"] == adj["node"]).select("query_id", "walk", F.col("neighbour").alias("node_id"), F.lit(hop).alias("hop"), (F.col("score") * decay * F.col("weight")).alias("score"), "seed_rank", "node_pos", F.concat("place", F.array(F.col("pos").cast("long"))).alias("place"))
         fresh = step.join(seen.select("query_id", "walk", "node_id"), ["query_id", "walk", "node_id"], "left_anti")
         first = Window.partitionBy("query_id", "walk", "node_id").orderBy("place")
-        frontier = fresh.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+        frontier = materialise(fresh.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r"), "hop")
         seen = seen.unionByName(frontier)
     return seen
 
 
-def expand(seeds: DataFrame, mapping: DataFrame, adj: DataFrame, max_hops: int = 2, decay: float = 0.65) -> DataFrame:
-    """(query_id, chunk_id, score, first_pos): the best score of each chunk met by any walk, at least 0; first_pos is its place of first emission."""
-    v = visits(seeds, mapping, adj, max_hops, decay)
-    met = v.join(mapping.select("chunk_id", "node_id", "chunk_pos"), "node_id")
+def chunk_scores(visited: DataFrame, mapping: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, query_id, chunk_id, score, first_pos): the best score of each chunk met by any walk, at least 0; first_pos is its place of first emission."""
+    met = visited.join(mapping.select("chunk_id", "node_id", "chunk_pos"), "node_id")
     order = F.struct("seed_rank", "node_pos", "hop", "place", "chunk_pos")
-    best = met.groupBy("query_id", "chunk_id").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("score"), F.min(order).alias("o"))
-    w = Window.partitionBy("query_id").orderBy("o", "chunk_id")
-    return best.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.row_number().over(w).cast("long").alias("first_pos"))
+    best = met.groupBy(*keys, "query_id", "chunk_id").agg(F.greatest(F.max("score"), F.lit(0.0)).alias("score"), F.min(order).alias("o"))
+    w = Window.partitionBy(*keys, "query_id").orderBy("o", "chunk_id")
+    return best.select(*keys, "query_id", "chunk_id", F.round("score", 9).alias("score"), F.row_number().over(w).cast("long").alias("first_pos"))
+
+
+def expand(seeds: DataFrame, mapping: DataFrame, adj: DataFrame, max_hops: int = 2, decay: float = 0.65) -> DataFrame:
+    """(query_id, chunk_id, score, first_pos) of the chunks within ``max_hops`` of the seeds."""
+    return chunk_scores(visits(seeds, mapping, adj, max_hops, decay), mapping)
+
+
+def expand_trials(seeds: DataFrame, mapping: DataFrame, adj: DataFrame, trials: DataFrame, deepest: int) -> DataFrame:
+    """(trial, query_id, chunk_id, score, first_pos) for all trials (trial, max_hops, hop_decay), a bounded table, by one search.
+
+    Which visit is first doesn't depend on the decay, so the search runs once, to the deepest trial's hops, and each trial takes its part.
+    """
+    v = visits(seeds, mapping, adj, deepest, 1.0).crossJoin(trials.select("trial", "max_hops", "hop_decay")).where("hop <= max_hops")
+    return chunk_scores(v.withColumn("score", F.col("score") * F.pow("hop_decay", "hop")), mapping, ("trial",))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -89,22 +103,29 @@ def top_relations(edges: DataFrame, n: int = 15) -> DataFrame:
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each weakly connected component.
+    """(node, label): the smallest node of each weakly connected component, by alternating star steps.
 
-    Labels and shortcuts: every round each node takes the least label among its neighbours', then the label of its label.
-    Rounds are written tables; their number grows with the logarithm of a component's diameter.
+    Large star: a node's greater neighbours move to its least neighbour. Small star: so do its lesser neighbours. Edges never grow in
+    number and end as stars around the least nodes. Both steps take the least neighbour by a map-side aggregate; rounds are written tables.
     """
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    both = materialise(both.union(both.select("b", "a")).distinct(), "ends")
-    labels = materialise(both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct(), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low"))
-        taken = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"), F.col("label").alias("was"))
-        up = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        now = materialise(taken.join(up, taken["label"] == up["_n"], "left").select("node", F.least("label", F.coalesce("_l", "label")).alias("label"), "was"), "labels")
-        if now.where("label <> was").isEmpty():
-            return now.select("node", "label")
-        labels = now.select("node", "label")
+    norm = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    every = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
+    now = materialise(norm(every), "edges")
+    was = state(now)
+    while was[0]:
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = materialise(norm(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "large-star")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = materialise(norm(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))), "small-star")
+        discard(now, large)
+        now = small
+        if (is_ := state(now)) == was:
+            break
+        was = is_
+    ends = every.select(F.col("a").alias("node")).union(every.select("b")).distinct()
+    return ends.join(now.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
@@ -121,13 +142,15 @@ def seed_node(edges: DataFrame) -> DataFrame:
     return degrees(edges).orderBy(F.col("degree").desc(), "node").limit(1)
 
 
-def select_around(edges: DataFrame, start: str, max_nodes: int, max_levels: int = 12) -> DataFrame:
-    """(node, level): nodes around ``start`` level by level, those of higher degree first, up to ``max_nodes``."""
+def select_around(edges: DataFrame, start: str, max_nodes: int) -> DataFrame:
+    """(node, level): nodes around ``start`` level by level, those of higher degree first, up to ``max_nodes`` or all that can be reached."""
     d = degrees(edges)
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
     both = both.union(both.select("b", "a")).distinct()
     seen = d.where(F.col("node") == start).select("node", F.lit(0).alias("level"))
-    for level in range(1, max_levels + 1):
+    seen, level = materialise(seen, "seen"), 0
+    while True:
+        level += 1
         reached = both.join(seen.where(F.col("level") == level - 1), both["a"] == seen["node"]).select(F.col("b").alias("node")).distinct()
         seen = materialise(seen.unionByName(reached.join(seen, "node", "left_anti").withColumn("level", F.lit(level))), "seen")
         if seen.count() >= max_nodes or seen.where(F.col("level") == level).isEmpty():

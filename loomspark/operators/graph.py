@@ -7,11 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark import schema
 from loomspark.functions import patterns as P
 from loomspark.functions import text as T
 from loomspark.plans.tables import materialise
 
 LEVELS = ("part", "chapter", "section")
+#: Labels of levels that a document doesn't have.
+VIRTUAL_LABELS = {"part": "Không có Phần", "chapter": "Không có Chương", "section": "Không có Mục"}
+ATTRIBUTES = ("url", "legal_type", "legal_sectors", "issuing_authority", "issuance_date", "signers")
 LEVEL_PATTERNS = {"part": P.NODE_PART, "chapter": P.NODE_CHAPTER, "section": P.NODE_SECTION}
 
 
@@ -21,7 +25,7 @@ def first_value(column: str, order: str) -> Column:
     return F.min_by(F.when(value != "", value), F.when(value != "", F.col(order)))
 
 
-def document_nodes(chunks: DataFrame, attributes: tuple[str, ...] = ("document_number", "title", "url", "legal_type", "legal_sectors", "issuing_authority", "issuance_date", "signers")) -> DataFrame:
+def document_nodes(chunks: DataFrame, attributes: tuple[str, ...] = ("document_number", "title", *ATTRIBUTES)) -> DataFrame:
     """A node for each document: each attribute is its first value that isn't blank, by chunk_ord."""
     have = [a for a in attributes if a in chunks.columns]
     return chunks.groupBy("document_id").agg(*[first_value(a, "chunk_ord").alias(a) for a in have], F.min("chunk_ord").alias("ord")).select(F.concat(F.lit("doc:"), F.col("document_id").cast("string")).alias("node_id"), F.lit("document").alias("node_type"), "document_id", *have, "ord")
@@ -35,7 +39,7 @@ def number_index(documents: DataFrame) -> DataFrame:
 
 def article_rows(chunks: DataFrame) -> DataFrame:
     """Chunks of articles, with article_number and, for each level, the heading or a placeholder and the node id."""
-    a = chunks.where(F.col("articles").rlike(P.NODE_ARTICLE)).withColumn("article_number", F.lower(F.regexp_extract("articles", P.NODE_ARTICLE, 1)))
+    a = chunks.where(F.col("articles").rlike(P.NODE_ARTICLE)).withColumn("article_number", F.upper(F.regexp_extract("articles", P.NODE_ARTICLE, 1)))
     for level in LEVELS:
         heading = T.heading_if(level, LEVEL_PATTERNS[level])
         a = a.withColumns({f"{level}_key": F.when(heading != "", heading).otherwise(f"__NO_{level.upper()}__"), f"{level}_virtual": heading == ""})
@@ -49,19 +53,27 @@ def article_rows(chunks: DataFrame) -> DataFrame:
 
 
 def level_nodes(articles: DataFrame) -> DataFrame:
-    """(node_id, node_type, label, document_id, parent_node_id, is_virtual) of parts, chapters and sections, each once."""
+    """(node_id, node_type, label, document_id, document_number, parent_node_id, is_virtual) of parts, chapters and sections, each once."""
     parents = {"part": "document_node", "chapter": "part_node", "section": "chapter_node"}
-    rows = [articles.select(F.col(f"{x}_node").alias("node_id"), F.lit(x).alias("node_type"), F.col(f"{x}_key").alias("label"), "document_id", F.col(parents[x]).alias("parent_node_id"), F.col(f"{x}_virtual").alias("is_virtual")) for x in LEVELS]
-    return reduce(DataFrame.unionByName, rows).distinct()
+    number = F.col("document_number") if "document_number" in articles.columns else F.lit(None).cast("string")
+
+    def rows(x: str) -> DataFrame:
+        label = F.when(F.col(f"{x}_virtual"), VIRTUAL_LABELS[x]).otherwise(F.col(f"{x}_key"))
+        return articles.select(F.col(f"{x}_node").alias("node_id"), F.lit(x).alias("node_type"), label.alias("label"), "document_id", number.alias("document_number"), F.col(parents[x]).alias("parent_node_id"), F.col(f"{x}_virtual").alias("is_virtual"), "chunk_ord")
+
+    every = reduce(DataFrame.unionByName, map(rows, LEVELS))
+    return every.groupBy("node_id", "node_type", "label", "document_id", "parent_node_id", "is_virtual").agg(first_value("document_number", "chunk_ord").alias("document_number"))
 
 
 def article_nodes(articles: DataFrame) -> DataFrame:
     """A node for each article: distinct contents joined by empty lines, distinct chunk ids, the first heading as label."""
+    number = first_value("document_number", "chunk_ord") if "document_number" in articles.columns else F.lit(None).cast("string")
 
     def distinct_in_order(column: str) -> Column:
-        return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ord", F.col(column).alias("x")))), lambda s: s["x"]))
+        return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ord", T.clean(column).alias("x")))), lambda s: s["x"]))
 
-    return articles.groupBy("article_node").agg(F.min_by(T.clean("articles"), "chunk_ord").alias("label"), F.min("document_id").alias("document_id"), F.min("section_node").alias("parent_node_id"), F.min("article_number").alias("article_number"), F.array_join(F.filter(distinct_in_order("content"), lambda c: F.trim(c) != ""), "\n\n").alias("content"), distinct_in_order("id").alias("source_chunk_ids")).select(F.col("article_node").alias("node_id"), F.lit("article").alias("node_type"), "label", "document_id", "parent_node_id", F.lit(False).alias("is_virtual"), "article_number", "content", "source_chunk_ids")
+    g = articles.groupBy("article_node").agg(F.min_by(T.clean("articles"), "chunk_ord").alias("label"), F.min("document_id").alias("document_id"), number.alias("document_number"), F.min("section_node").alias("parent_node_id"), F.min("article_number").alias("article_number"), F.array_join(F.filter(distinct_in_order("content"), lambda c: c != ""), "\n\n").alias("content"), F.filter(distinct_in_order("id"), lambda c: c != "").alias("source_chunk_ids"))
+    return g.select(F.col("article_node").alias("node_id"), F.lit("article").alias("node_type"), "label", "document_id", "document_number", "parent_node_id", F.lit(False).alias("is_virtual"), "article_number", "content", "source_chunk_ids")
 
 
 def hierarchy_edges(articles: DataFrame) -> DataFrame:
@@ -72,41 +84,58 @@ def hierarchy_edges(articles: DataFrame) -> DataFrame:
 
 
 def resolved_links(chunks: DataFrame, documents: DataFrame, index: DataFrame) -> DataFrame:
-    """(source, target, relationship, scope, evidence, resolution_status, number_key, ord, link_pos) of every link that counts.
+    """(source, target, relationship, scope, evidence, resolution_status, number, ord, link_pos) of every link that counts.
 
     One document of that number: it is the target. None or several: an external node stands for the number. Blank numbers,
-    the document's own number and links to itself are passed over.
+    the document's own number and links to itself are passed over. number is the number as the link has it.
     """
     own = documents.select("document_id", T.graph_number("document_number").alias("own_number"))
     rows = chunks.select("document_id", F.col("chunk_ord").alias("ord"), F.posexplode("link_to").alias("link_pos", "link"))
-    rows = rows.select("document_id", "ord", "link_pos", T.graph_number(F.col("link.document_number")).alias("number_key"), T.relation(F.col("link.relationship")).alias("relationship"), T.clean(F.col("link.scope")).alias("scope"), T.clean(F.col("link.raw_text")).alias("evidence")).where("number_key <> ''")
+    rows = rows.select("document_id", "ord", "link_pos", T.clean(F.col("link.document_number")).alias("number"), T.graph_number(F.col("link.document_number")).alias("number_key"), T.relation(F.col("link.relationship")).alias("relationship"), T.clean(F.col("link.scope")).alias("scope"), T.clean(F.col("link.raw_text")).alias("evidence")).where("number_key <> ''")
     rows = rows.join(own, "document_id", "left").where("own_number is null or number_key <> own_number")
+    rows = with_targets(rows, index)
+    return rows.select(F.concat(F.lit("doc:"), F.col("document_id").cast("string")).alias("source"), "target", "relationship", "scope", "evidence", "resolution_status", "number", "ord", "link_pos").where("source <> target")
+
+
+def with_targets(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """rows (with number_key) and resolution_status (internal, not_found or ambiguous) and target: the one document of that number, or an external node."""
     rows = rows.join(index.select("number_key", "n_documents", F.col("node_id").alias("_target")), "number_key", "left")
     status = F.when(F.col("n_documents") == 1, "internal").when(F.col("n_documents").isNull(), "not_found").otherwise("ambiguous")
-    target = F.when(status == "internal", F.col("_target")).otherwise(T.stable_id("external", F.col("number_key")))
-    return rows.select(F.concat(F.lit("doc:"), F.col("document_id").cast("string")).alias("source"), target.alias("target"), "relationship", "scope", "evidence", status.alias("resolution_status"), "number_key", "ord", "link_pos").where("source <> target")
+    target = F.when(status == "internal", F.col("_target")).otherwise(T.stable_id("external_doc", F.col("number_key")))
+    return rows.withColumns({"resolution_status": status, "target": target}).drop("_target", "n_documents")
 
 
 def link_edges(links: DataFrame, keep: int = 10) -> DataFrame:
-    """Links gathered by (source, target, relationship): how many, their scopes, and the first distinct pieces of evidence."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", "link_pos", "evidence"))), lambda s: s["evidence"])
-    return links.groupBy("source", "target", "relationship").agg(F.count(F.lit(1)).alias("reference_count"), F.array_sort(F.collect_set(F.when(F.col("scope") != "", F.col("scope")))).alias("scopes"), F.slice(F.array_distinct(F.filter(ordered, lambda e: e != "")), 1, keep).alias("evidence"), F.min("resolution_status").alias("resolution_status")).withColumn("edge_type", F.lit("DOCUMENT_LINK"))
+    """Links gathered by (source, target, relationship): how many, their scopes, and the first distinct pieces of evidence.
+
+    Evidence is ranked by where it is first met, and only what is kept of an edge is gathered.
+    """
+    key = ["source", "target", "relationship"]
+    edges = links.groupBy(*key).agg(F.count(F.lit(1)).alias("reference_count"), F.array_sort(F.collect_set(F.when(F.col("scope") != "", F.col("scope")))).alias("scopes"), F.min("resolution_status").alias("resolution_status"))
+    met = links.where("evidence <> ''").groupBy(*key, "evidence").agg(F.min(F.struct("ord", "link_pos")).alias("_at"))
+    first = met.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("_at"))).where(F.col("_r") <= keep)
+    gathered = first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "evidence"))), lambda s: s["evidence"]).alias("evidence"))
+    return edges.join(gathered, key, "left").withColumns({"edge_type": F.lit("DOCUMENT_LINK"), "evidence": F.coalesce("evidence", F.array().cast("array<string>"))})
 
 
 def external_nodes(links: DataFrame) -> DataFrame:
-    rows = links.where("resolution_status <> 'internal'").groupBy(F.col("target").alias("node_id")).agg(F.min("number_key").alias("document_number"), F.min("resolution_status").alias("resolution_status"))
+    """A node for each number that isn't one document's, with the number as the first link has it."""
+    rows = links.where("resolution_status <> 'internal'").groupBy(F.col("target").alias("node_id")).agg(F.min_by("number", F.struct("ord", "link_pos")).alias("document_number"), F.min("resolution_status").alias("resolution_status"))
     return rows.select("node_id", F.lit("external_document").alias("node_type"), F.col("document_number").alias("label"), "document_number", "resolution_status")
 
 
 def build_nodes(chunks: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """All nodes, ordered by type, document (nulls last) and id, with node_pos."""
+    """All nodes with the columns of ``schema.NODES``, ordered by type, document (nulls last) and id, with node_pos. Attributes that a node hasn't are empty."""
     documents, articles = document_nodes(chunks), article_rows(chunks)
     links = resolved_links(chunks, documents, number_index(documents)) if links is None else links
-    docs = documents.withColumns({"label": F.coalesce(F.col("title") if "title" in documents.columns else F.lit(None), F.col("document_number"), F.col("node_id")), "is_virtual": F.lit(False)}).drop("ord")
-    nodes = docs
+    title = F.col("title") if "title" in documents.columns else F.lit(None).cast("string")
+    nodes = documents.withColumns({"label": title}).drop("ord", "title")
     for more in (level_nodes(articles), article_nodes(articles), external_nodes(links)):
         nodes = nodes.unionByName(more, allowMissingColumns=True)
-    nodes = nodes.withColumns({"source_chunk_ids": F.coalesce("source_chunk_ids", F.array().cast("array<string>")), "is_virtual": F.coalesce("is_virtual", F.lit(False))})
+    known = {"source_chunk_ids": F.coalesce("source_chunk_ids", F.array().cast("array<string>")), "is_virtual": F.coalesce("is_virtual", F.lit(False)), "resolution_status": F.coalesce("resolution_status", F.lit("internal"))}
+    names = [c.split()[0] for c in schema.NODES.split(", ")]
+    text = lambda c: F.coalesce(c, F.lit("")) if c in nodes.columns else F.lit("")
+    nodes = nodes.select(*[(F.col(c) if c in ("node_id", "document_id") else known.get(c, text(c))).alias(c) for c in names])
     return with_positions(nodes, ["node_type", "document_id", "node_id"], "node_pos", "node_id")
 
 
@@ -114,12 +143,19 @@ def build_edges(chunks: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """All edges with ids, ordered by type, relationship and ends, with edge_pos."""
     documents = document_nodes(chunks)
     links = resolved_links(chunks, documents, number_index(documents)) if links is None else links
-    edges = hierarchy_edges(article_rows(chunks)).unionByName(link_edges(links), allowMissingColumns=True)
-    empty = F.array().cast("array<string>")
-    edges = edges.withColumns({"edge_id": T.stable_id("edge", "source", "target", "relationship"), "scopes": F.coalesce("scopes", empty), "evidence": F.coalesce("evidence", empty)})
+    edges = with_edge_ids(hierarchy_edges(article_rows(chunks)).unionByName(link_edges(links), allowMissingColumns=True))
     return with_positions(edges, ["edge_type", "relationship", "source", "target"], "edge_pos", "edge_id")
 
 
+def with_edge_ids(edges: DataFrame) -> DataFrame:
+    """The columns of ``schema.EDGES``; what a hierarchy edge hasn't is empty, and its ends are internal."""
+    empty = F.array().cast("array<string>")
+    more = {"edge_id": T.stable_id("edge", "source", "target", "relationship")}
+    for c, other in (("scopes", empty), ("evidence", empty), ("resolution_status", F.lit("internal"))):
+        more[c] = F.coalesce(c, other) if c in edges.columns else other
+    return edges.withColumns(more).select(*[c.split()[0] for c in schema.EDGES.split(", ")])
+
+
 def with_positions(df: DataFrame, order: list[str], name: str, key: str) -> DataFrame:
     """df with a global position from 0 in the given order (nulls last), without a single-partition window.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.plans.tables import shared_path
+
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -29,24 +33,69 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.size(tokens(text))) / F.count(F.lit(1))).alias("avgdl"))
 
 
-def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score) of every document that shares a term with a query.
+@dataclass(frozen=True)
+class Index:
+    """A keyword index: postings (doc_id, term, tf, dl), documents that hold a term (term, df), and the corpus's size and mean length."""
+
+    postings: DataFrame
+    df: DataFrame
+    n: int
+    avgdl: float
+
+
+def query_terms(queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
+    """(query_id, term, qtf)."""
+    return queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(query)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
-    Query terms count as often as the query has them. Documents are tokenised once for the postings; only postings of query
-    terms are joined, so the join's left side is the queries' vocabulary.
+
+def build_index(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", vocabulary: DataFrame | None = None) -> Index:
+    """The index of docs, written to ``path`` (the shared folder, where none is given). With a vocabulary (term), of its terms only.
+
+    Documents are tokenised once: the corpus's size and length are observed while the postings are written. Postings are sorted by
+    term, so that a query's terms prune files.
+    """
+    spark = docs.sparkSession
+    path = path or shared_path(spark, "bm25")
+    seen = Observation()
+    t = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("t")).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.size("t")).alias("total"))
+    rows = t.select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    if vocabulary is not None:
+        rows = rows.join(vocabulary, "term", "left_semi")
+    post = rows.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "term", "tf", "dl")
+    post.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/df")
+    n, total = seen.get["n"], seen.get["total"] or 0
+    spark.createDataFrame([(n, total / n if n else 0.0)], "n long, avgdl double").write.mode("overwrite").parquet(f"{path}/stats")
+    return load_index(spark, path)
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    """A written index. The table of frequencies must be that of the postings."""
+    post, df = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/df")
+    stats = spark.read.parquet(f"{path}/stats").first()
+    if post.count() != (df.agg(F.sum("df")).first()[0] or 0):
+        raise ValueError(f"{path}: postings and document frequencies don't belong together")
+    return Index(post, df, stats["n"], stats["avgdl"])
+
+
+def index_scores(index: Index, asked: DataFrame, k1: float = 1.5, b: float = 0.75, salts: int = 16) -> DataFrame:
+    """(query_id, doc_id, score) of every document that shares a term with a query. asked: (query_id, term, qtf).
+
+    Query terms count as often as the query has them. A frequent term's postings are dealt by (term, salt), so that it is no single task.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(query)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    vocabulary = asked.select("term").distinct()
-    post = postings(docs, doc_id, text).join(vocabulary, "term", "left_semi")
-    df = document_frequencies(post)
-    stats = corpus_stats(docs, text)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = asked.join(df, "term").crossJoin(stats).select("query_id", "term", (F.col("qtf") * idf).alias("w"), "avgdl")  # stats is one row
-    hit = post.join(scored, "term")
-    tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    idf = F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(index.df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
+    hit = index.postings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts))).join(weighted, ["term", "salt"])
     return hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * tf), 6).alias("score"))
 
 
+def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``index_scores`` over an index of the queries' vocabulary."""
+    asked = query_terms(queries, query_id, query)
+    return index_scores(build_index(docs, None, doc_id, text, asked.select("term").distinct()), asked, k1, b)
+
+
 def top_k(scores: DataFrame, k: int, id_column: str = "doc_id", ascending: bool = False) -> DataFrame:
     """The k best of each query; rank from 1, ties by id."""
     order = F.col("score").asc() if ascending else F.col("score").desc()

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.operators.lexical import tokens, top_k
@@ -56,34 +59,87 @@ def hashed_encoder(text: Column | str, dims: int = 64) -> Column:
     return truncate_normalize(counts)
 
 
-def exact_scores(vectors: DataFrame, queries: DataFrame, metric: str = "ip", block: int = 256) -> DataFrame:
-    """(query_id, vec_id, score) of all pairs of a stated query set with all vectors.
+def _block_top(asked: pa.Table, there: pa.Table, k: int, metric: str) -> pa.Table:
+    """(query_id, vec_id, score): rows that may be among the k best, of one block of queries and one of vectors of one length."""
+    matrix = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+    q, v = matrix(asked, "query"), matrix(there, "embedding")
+    score = q @ v.T
+    if metric == "l2":
+        score = np.maximum((q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * score, 0.0)
+    score = np.round(score, 6) + 0.0
+    better = -score if metric == "l2" else score
+    kth = np.partition(better, len(v) - k, axis=1)[:, len(v) - k] if k < len(v) else np.full(len(q), -np.inf)
+    i, j = np.nonzero(better >= kth[:, None])
+    return pa.table({"query_id": asked["query_id"].take(pa.array(i)), "vec_id": there["vec_id"].take(pa.array(j)), "score": pa.array(score[i, j])})
 
-    vectors: (vec_id, embedding); queries: (query_id, query). Queries meet vectors in blocks: an equi-join over block numbers,
-    so neither side has to fit one machine.
-    """
-    score = squared_distance if metric == "l2" else dot
-    n = queries.count()
-    blocks = max(1, math.ceil(n / block))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    v = vectors.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return v.join(q, "qb").select("query_id", "vec_id", F.round(score(F.col("query"), F.col("embedding")), 6).alias("score"))
-
-
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip") -> DataFrame:
-    """(query_id, vec_id, score, rank). Inner products descend, squared distances ascend."""
-    return top_k(exact_scores(vectors, queries, metric), k, "vec_id", ascending=metric == "l2")
 
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", block: int = 8192, query_block: int = 1024) -> DataFrame:
+    """(query_id, vec_id, score, rank) of a stated query set against all vectors. Inner products descend, squared distances ascend.
 
-def approximate_pairs(vectors: DataFrame, queries: DataFrame, threshold: float, bucket_length: float = 0.5, tables: int = 4) -> DataFrame:
-    """(query_id, vec_id, distance) found by random projections: an approximate search for large collections; misses are possible."""
+    vectors: (vec_id, embedding); queries: (query_id, query). Both sides are dealt into blocks; a block of queries meets each block of vectors as
+    one matrix product, and only what may be among its k best goes on. Vectors that are null, or hold a null, take no part; only
+    equal lengths meet.
+    """
+    whole = lambda df, c: df.where(F.col(c).isNotNull() & (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull())).withColumn("dim", F.size(c))
+    q, v = whole(queries.select("query_id", "query"), "query"), whole(vectors.select("vec_id", "embedding"), "embedding")
+    blocks, query_blocks = (max(1, math.ceil(df.count() / n)) for df, n in ((v, block), (q, query_block)))
+    number = lambda *c, n: F.pmod(F.xxhash64(*c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = q.withColumns({"qb": number("query_id", "query", n=query_blocks)}).withColumn("b", every(blocks))
+    v = v.withColumns({"b": number("vec_id", "embedding", n=blocks)}).withColumn("qb", every(query_blocks))
+    keys, tasks = ("dim", "b", "qb"), min(4 * blocks * query_blocks, 1 << 14)
+    out = f"query_id {q.schema['query_id'].dataType.simpleString()}, vec_id {v.schema['vec_id'].dataType.simpleString()}, score double"
+    empty = pa.schema([("query_id", pa.null()), ("vec_id", pa.null()), ("score", pa.float64())])
+
+    def run(asked: pa.Table, there: pa.Table) -> pa.Table:
+        if not asked.num_rows or not there.num_rows:
+            ids = {c: t.schema.field(c).type for c, t in (("query_id", asked), ("vec_id", there)) if c in t.schema.names}
+            return pa.table({f.name: pa.array([], ids.get(f.name, f.type)) for f in empty})
+        return _block_top(asked, there, k, metric)
+
+    # The names differ on both sides, and one is projected anew: a cogroup takes no self-join.
+    asked = q.toDF(*q.columns).repartition(tasks, *keys).groupBy(*keys)
+    met = asked.cogroup(v.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(run, out)
+    return top_k(met, k, "vec_id", ascending=metric == "l2")
+
+
+def approximate_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bucket_length: float = 2.0, tables: int = 6) -> DataFrame:
+    """(query_id, vec_id, score, rank) by random projections: an approximate search by squared distance; misses are possible.
+
+    A pair is compared if a projection puts both into one bucket in some table; pairs met in several tables are compared once.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    v = vectors.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    q = queries.select("query_id", array_to_vector(F.col("query").cast("array<double>")).alias("features"))
+    v = vectors.select("vec_id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    q = queries.select("query_id", "query", array_to_vector(F.col("query").cast("array<double>")).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=7).fit(v)
-    return model.approxSimilarityJoin(q, v, threshold, "distance").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), "distance")
+    bucket = lambda df: model.transform(df).select("*", F.posexplode("hashes").alias("t", "_h")).withColumn("h", vector_to_array("_h")[0]).drop("hashes", "_h", "features")
+    pairs = bucket(q).join(bucket(v).select("vec_id", "t", "h"), ["t", "h"]).select("query_id", "vec_id").distinct()
+    scored = pairs.join(queries.select("query_id", "query"), "query_id").join(vectors.select("vec_id", "embedding"), "vec_id")
+    return top_k(scored.select("query_id", "vec_id", F.round(squared_distance(F.col("query"), F.col("embedding")), 6).alias("score")), k, "vec_id", ascending=True)
+
+
+def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row (n_queries, recall): the share of exact (query_id, vec_id) that was found."""
+    hit = found.select("query_id", "vec_id").distinct().withColumn("hit", F.lit(1))
+    return exact.join(hit, ["query_id", "vec_id"], "left").agg(F.countDistinct("query_id").alias("n_queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
+def write_index(vectors: DataFrame, path: str, column: str = "embedding", metric: str = "ip") -> None:
+    """An index on disk: checked vectors, and how many there are."""
+    index_table(vectors, column, metric).write.mode("overwrite").parquet(f"{path}/vectors")
+    n = vectors.sparkSession.read.parquet(f"{path}/vectors").count()
+    vectors.sparkSession.createDataFrame([(metric, n)], "metric string, n long").write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def read_index(spark: SparkSession, path: str, metadata: DataFrame | None = None) -> DataFrame:
+    """The vectors of a written index; another number of them than was written, or than there are rows of metadata, is an error."""
+    vectors, n = spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/manifest").first()["n"]
+    for have in (vectors.count(), *(() if metadata is None else (metadata.count(),))):
+        if have != n:
+            raise ValueError(f"{path} was written with {n} vectors, there are {have} rows")
+    return vectors
 
 
 def self_probe(vectors: DataFrame, first: int = 5, metric: str = "ip") -> DataFrame:

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# Names and order of the columns that tables are exchanged with.
 _LINK = "relationship string, document_number string, article string, clause string, point string, appendix string, section string, raw_text string, scope string"
 LINK = "struct<" + ", ".join(f"{n}: {t}" for n, t in (x.split() for x in _LINK.split(", "))) + ">"
-CHUNKS = f"id string, document_id long, document_number string, title string, url string, legal_type string, legal_sectors array<string>, issuing_authority string, issuance_date string, signers string, part string, chapter string, section string, articles string, content string, link_to array<{LINK}>"
 NODES = "node_id string, node_type string, label string, document_id long, document_number string, parent_node_id string, is_virtual boolean, article_number string, content string, source_chunk_ids array<string>, resolution_status string, url string, legal_type string, legal_sectors string, issuing_authority string, issuance_date string, signers string"
 EDGES = "edge_id string, source string, target string, edge_type string, relationship string, reference_count long, scopes array<string>, evidence array<string>, resolution_status string"
-RANKED = "query_id string, chunk_id string, score double, source string, rank int"
-EVAL_QUERIES = "query_id string, query string, relevant_chunk_ids array<string>"
 METADATA = ("document_number", "title", "url", "legal_type", "legal_sectors", "issuing_authority", "issuance_date", "signers")
 
-#: Names under which edge tables may carry their ends and weights, in order of preference.
+#: Names under which edge tables may carry their ends and weights, in order of preference.
 SOURCE_NAMES = ("source_node_id", "source", "src", "from_node_id", "from_node", "from", "u")
 TARGET_NAMES = ("target_node_id", "target", "dst", "to_node_id", "to_node", "to", "v")
 WEIGHT_NAMES = ("reference_count", "weight", "edge_weight", "score")
