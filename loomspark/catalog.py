@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.queries import graphs, retrieval, texts
+from loomspark.queries import answers, graphs, retrieval, storage, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | graphs.QUERIES | texts.QUERIES
-ORACLES: dict[str, str] = retrieval.ORACLES | graphs.ORACLES | texts.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | graphs.QUERIES | texts.QUERIES | answers.QUERIES | storage.QUERIES
+ORACLES: dict[str, str] = retrieval.ORACLES | graphs.ORACLES | texts.ORACLES | answers.ORACLES | storage.ORACLES
