@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -299,9 +300,13 @@ def query_terms(x: Column | str) -> Column:
     return F.array_distinct(terms(x))
 
 
-def query_phrases(x: Column | str) -> Column:
-    """Distinct runs of two, three and four terms."""
-    t = terms(x)
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def phrases(t: Column) -> Column:
+    """Distinct runs of two, three and four of an array of terms."""
 
     def runs(k: int) -> Column:
         joined = F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.array_join(F.slice(t, i, k), " "))
@@ -310,6 +315,11 @@ def query_phrases(x: Column | str) -> Column:
     return F.array_distinct(F.concat(*map(runs, (2, 3, 4))))
 
 
+def query_phrases(x: Column | str) -> Column:
+    """Distinct runs of two, three and four terms."""
+    return let(terms(x), phrases)
+
+
 def sentences(x: Column | str, least: int = 18) -> Column:
     """Sentences, clauses and list items of at least ``least`` characters."""
     t = F.regexp_replace(collapse(x), P.LIST_MARK, "\n")

@@ -18,23 +18,24 @@ def _shared(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1))
 
 
-def segment_relevance(query: Column | str, segment: Column | str, title: Column | str, rank: Column | str) -> Column:
+def relevance(terms: Column, phrases: Column, title_terms: Column, segment: Column, rank: Column) -> Column:
     """How well a segment answers a query: terms .52, title terms .16, phrases .14, legal words .08, rank .06, length .04."""
-    q = T.query_terms(query)
     plain = F.lower(T.collapse(segment))
-    hits = F.size(F.filter(T.query_phrases(query), lambda p: plain.contains(p)))
-    rank = F.col(rank) if isinstance(rank, str) else rank
+    hits = T.let(plain, lambda x: F.size(F.filter(phrases, lambda p: x.contains(p))))
     signal = F.when(plain.rlike(P.LEGAL_SIGNAL), 1.0).otherwise(0.0)
     size = F.least(F.length(T.blank_if_null(segment)), F.lit(320)) / 320.0
-    return 0.52 * _shared(q, T.query_terms(segment)) + 0.16 * _shared(q, T.query_terms(title)) + 0.14 * F.least(hits / 3.0, F.lit(1.0)) + 0.08 * signal + 0.06 / F.greatest(rank, F.lit(1)) + 0.04 * size
+    return 0.52 * _shared(terms, T.query_terms(segment)) + 0.16 * _shared(terms, title_terms) + 0.14 * F.least(hits / 3.0, F.lit(1.0)) + 0.08 * signal + 0.06 / F.greatest(rank, F.lit(1)) + 0.04 * size
 
 
 def segments(results: DataFrame) -> DataFrame:
-    """(query_id, query, source_id, title, pos, segment) of results (query_id, query, source_id, title, text): sentences, or the first 600 characters."""
-    cut = T.sentences("text")
+    """(query_id, source_id, pos, segment, terms, phrases, title_terms) of results (query_id, query, source_id, title, text): sentences, or the first 600 characters.
+
+    What depends on the query or the title only is made once a result, before its segments are told apart.
+    """
     whole = F.substring(T.collapse("text"), 1, 600)
-    own = F.when(F.size(cut) > 0, cut).when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
-    return results.withColumn("_own", own).select("query_id", "query", "source_id", "title", F.posexplode("_own").alias("pos", "segment"))
+    made = results.select("query_id", "source_id", T.terms("query").alias("_w"), T.query_terms("title").alias("title_terms"), T.sentences("text").alias("_cut"), F.when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>")).alias("_whole"))
+    own = made.select("query_id", "source_id", F.array_distinct("_w").alias("terms"), T.phrases(F.col("_w")).alias("phrases"), "title_terms", F.when(F.size("_cut") > 0, F.col("_cut")).otherwise(F.col("_whole")).alias("_own"))
+    return own.select("query_id", "source_id", "terms", "phrases", "title_terms", F.posexplode("_own").alias("pos", "segment"))
 
 
 def ranked_evidence(results: DataFrame, limit: int = 8, per_source: int = 3) -> DataFrame:
@@ -43,7 +44,7 @@ def ranked_evidence(results: DataFrame, limit: int = 8, per_source: int = 3) ->
     A text left out because its source is full may still come from another source, so the choice is a fold over a query's
     segments in order; they are at most those of its retrieved texts.
     """
-    s = segments(results).withColumns({"score": F.round(segment_relevance("query", "segment", "title", "source_id"), 6), "plain": F.lower(T.collapse("segment"))}).where("plain <> ''")
+    s = segments(results).select("query_id", "source_id", "pos", "segment", F.round(relevance(F.col("terms"), F.col("phrases"), F.col("title_terms"), F.col("segment"), F.col("source_id")), 6).alias("score"), F.lower(T.collapse("segment")).alias("plain")).where("plain <> ''")
     # Of one text in one source the first stands for all; the fold then meets few rows.
     s = s.groupBy("query_id", "source_id", "plain").agg(F.max_by(F.struct("score", "pos", "segment"), F.struct("score", -F.col("pos"))).alias("b")).select("query_id", "source_id", "plain", "b.*")
     w = Window.partitionBy("query_id", "source_id").orderBy(F.col("score").desc(), "pos")

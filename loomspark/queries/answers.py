@@ -95,7 +95,7 @@ def evidence_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ATTRIBUTED = f"""
-att AS (SELECT query_id, source_id, round(0.85::DOUBLE * (len(list_intersect(at, own)) / greatest(len(at), 1)) + 0.15::DOUBLE / source_id, 6) AS score FROM (SELECT query_id, source_id, {_TERMS.format('answer')} AS at, {_TERMS.format("concat_ws(' ', title, articles, text)")} AS own FROM (SELECT res.*, {{articles}} AS articles, {{answer}} AS answer FROM res {{join}}))),
+att AS (SELECT query_id, source_id, round(0.85::DOUBLE * (len(list_intersect(aterms, own)) / greatest(len(aterms), 1)) + 0.15::DOUBLE / source_id, 6) AS score FROM (SELECT query_id, source_id, {_TERMS.format('answer')} AS aterms, {_TERMS.format("concat_ws(' ', title, articles, text)")} AS own FROM (SELECT res.*, {{articles}} AS articles, {{answer}} AS answer FROM res {{join}}))),
 top3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id DESC) AS rank FROM att QUALIFY rank <= 3)"""
 
 
@@ -127,7 +127,7 @@ SELECT query_id, answer || chr(10) || chr(10) || 'Nguồn trích dẫn:' || chr(
 def answer_flow(spark: SparkSession, d: str) -> DataFrame:
     """A given answer where it is valid (for even queries; the others' is too short), else an extracted one; with sources."""
     r = _results(spark, d)
-    given = F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("<think>x</think>[1]. "), F.lit(_GENERATED), F.lit("\n\nNguồn:\n- một"))).otherwise("Quá ngắn.")
+    given = F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("<think>x</think>[1]. "), F.lit(_GENERATED), F.lit("\n\n### Nguồn\n- một"))).otherwise("Quá ngắn.")
     return evidence.answers(r, r.select("query_id", given.alias("generated")).distinct())
 
 
