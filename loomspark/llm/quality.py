@@ -17,10 +17,10 @@ rows give repeated rows; an empty table gives an empty result. Other columns of
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -66,17 +66,28 @@ def line_fails(line: str, n: int, rules: LineRules) -> bool:
 
 
 def repeated_words(words: list[str], size: int = 5) -> int:
-    """Words within windows of ``size`` words that occur twice or more."""
-    windows = list(zip(*[words[i:] for i in range(size)], strict=False))
-    if len(set(windows)) == len(windows):
+    """Words within windows of ``size`` words that occur twice or more.
+
+    Words become numbers, and a window the pair of two numbers of shorter ones, so that a long text takes a few arrays of eight bytes a word.
+    """
+    n = len(words) - size + 1
+    if n < 2:
+        return 0
+    names: dict[str, int] = {}
+    own = np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words))
+    if len(names) == len(words):
         return 0
-    counts = Counter(windows)
-    covered, end = 0, 0
-    for i, w in enumerate(windows):
-        if counts[w] > 1:
-            covered += i + size - max(i, end)
-            end = i + size
-    return covered
+    window, width = own, 1
+    while width < size:  # names of windows double; the last step may overlap
+        step = min(width, size - width)
+        pair = window[:-step] * (int(window.max()) + 1) + window[step:]
+        window, width = np.unique(pair, return_inverse=True)[1].reshape(-1), width + step
+    often = np.bincount(window)[window] > 1
+    covered = np.zeros(len(words) + 1, np.int64)
+    at = np.flatnonzero(often)
+    np.add.at(covered, at, 1)
+    np.add.at(covered, at + size, -1)
+    return int(np.count_nonzero(np.cumsum(covered) > 0))
 
 
 def measure(text: str | None, rules: LineRules) -> tuple[int, int, int, int, int, bool, bool]:

@@ -1,3 +1,7 @@
+import random
+import tracemalloc
+from collections import Counter
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -35,3 +39,21 @@ def test_lines():
     assert fails("Home | About | Contact us") and fails("All rights reserved.") and fails("READ THIS NOW OR ELSE DEAR") and fails("Menu")
     assert not fails("A sentence that ends well.") and not fails("a long line of many words without an end mark")
     assert q.clean_text("Menu\nA good line here.") == "A good line here."
+
+
+def test_repeated_words_of_long_and_awkward_texts():
+    def brute(words, size=5):
+        windows = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+        counts = Counter(windows)
+        return len({j for i, w in enumerate(windows) if counts[w] > 1 for j in range(i, i + size)})
+
+    r = random.Random(8)
+    for _ in range(500):
+        words = [r.choice("abcd"[: r.randint(1, 4)]) if r.random() < 0.8 else str(r.random()) for _ in range(r.randint(0, 60))]
+        assert q.repeated_words(words) == brute(words)
+    words = [f"w{r.randrange(10**6)}" for _ in range(300_000)]
+    tracemalloc.start()
+    assert q.repeated_words(words + words[:5]) == 10
+    assert tracemalloc.get_traced_memory()[1] < 60 * len(words) + (80 << 20)
+    tracemalloc.stop()
+    assert q.repeated_words(["x"] * 200_000) == 200_000
