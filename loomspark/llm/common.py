@@ -2,69 +2,28 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words are maximal runs of anything but ASCII white space.
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-
-_TABLES: list[tuple[SparkSession, str]] = []
-
+from loomspark.plans import tables
+from loomspark.plans.tables import discard, shared_dir, shared_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir")
-    if where:
-        return where.rstrip("/")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomspark-"))
-    return sc.getCheckpointDir().rstrip("/")
+__all__ = ["WORD_PATTERN", "discard", "materialise", "read_table", "shared_dir", "shared_path", "two_level", "utf8", "word_count"]
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _TABLES.append((spark, path))
-    return path
+#: Words are maximal runs of anything but ASCII white space.
+WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives the loss of executors."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    out = tables.materialise(df, name)
     gc.collect()  # lets Spark remove the shuffle files behind the table
     df.sparkSession.sparkContext._jvm.System.gc()
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.loom_path = path
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Remove materialised tables that nothing will read again."""
-    for df in tables:
-        _remove(df.sparkSession, df.loom_path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _remove_tables() -> None:
-    for spark, path in _TABLES:
-        try:
-            _remove(spark, path)
-        except Exception:  # noqa: BLE001  the session is already gone: its folder is removed with it
-            return
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -86,29 +86,45 @@ def taken_parts(place: DataFrame, slots: DataFrame, block: int, passes: int) ->
 
 
 def mix(docs: DataFrame, share: float = 1.5, passes: int = 2, block: int = 4096, seed: int = 17) -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken), one for each document."""
+    """Rows (doc_id, size, source_size, target, taken, first_slot, last_slot), one for each document; the slots of the mix between which its words lie."""
     sized = materialise(docs.select("doc_id", "source", word_count("text").alias("size")), "sized")
     sources = materialise(targets(sized, share, passes), "sources")
     place = materialise(placed(sized, sources, seed), "placed")
     parts = taken_parts(place, schedule(sources, block), block, passes)
-    taken = parts.groupBy("sidx", "pos").agg(F.sum("n").alias("taken"))
-    return place.join(taken, ["sidx", "pos"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = parts.groupBy("sidx", "pos").agg(F.sum("n").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+    return place.join(taken, ["sidx", "pos"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "last_slot")
 
 
 def mixed_documents(docs: DataFrame, share: float = 1.5, passes: int = 2, block: int = 4096, seed: int = 17) -> DataFrame:
-    """The mix as documents: one row for each pass over a document, with the words taken in it; columns of docs.
+    """The mix as documents: one row for each pass over a document, with the words taken in it; columns of docs, rows in the order of slots.
 
-    A whole pass keeps the text as it is. Of the document where a source's last slot ends, the words taken are joined by blanks.
+    Rows are range-partitioned and sorted by the slot where their words begin, so a table written from them, read file by file, is the mix in its
+    order. A whole pass keeps the text as it is. Of the document where a source's last slot ends, the words taken are joined by blanks.
     n_chars, where present, follows the text.
+
+    The plan is made on small rows and joined to the texts by doc_id and a hash of the row; only where equal rows repeat are these numbered first.
+    Defined results: as above; null texts have no words and are never taken; equal rows are interchangeable; empty tables give empty results; columns
+    of any names are kept.
     """
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"), F.struct(*docs.columns).alias("_row"))
-    small = materialise(sized.drop("_row"), "sized")
+    keyed = docs.select(F.col("doc_id").alias("_loom_d"), F.xxhash64(*[F.col(c) for c, t in docs.dtypes if not t.startswith("map")]).alias("_loom_h"), F.struct(*docs.columns).alias("_row"))
+    small = materialise(docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64(*[F.col(c) for c, t in docs.dtypes if not t.startswith("map")]).alias("h")), "sized")
     sources = materialise(targets(small, share, passes), "sources")
-    parts = taken_parts(materialise(placed(small, sources, seed), "placed"), schedule(sources, block), block, passes)
-    spans = parts.groupBy("sidx", "pos", "pass").agg(F.min("first").alias("_first"), F.sum("n").alias("_n"))
+    place = materialise(placed(small, sources, seed), "placed")
+    parts = taken_parts(place, schedule(sources, block), block, passes)
+    spans = parts.groupBy("sidx", "pos", "pass").agg(F.min("first").alias("_first"), F.sum("n").alias("_n"), F.min("slot").alias("_slot"))
+    copy = F.lit(1)
+    if not small.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        number = lambda *by: F.row_number().over(Window.partitionBy(*by[:2]).orderBy(by[2]))
+        place, copy = place.withColumn("_copy", number("doc_id", "h", "pos")), number("_loom_d", "_loom_h", "_loom_h")
+    else:
+        place = place.withColumn("_copy", F.lit(1))
+    keyed = keyed.withColumn("_loom_c", copy)
+    wanted = place.join(spans, ["sidx", "pos"]).select("doc_id", "h", "_copy", "size", "_first", "_n", "_slot")
     text = F.col("_row")["text"]
     words = F.slice(F.regexp_extract_all(text, F.lit(f"({WORD_PATTERN})"), F.lit(1)), (F.col("_first") + 1).cast("int"), F.col("_n").cast("int"))
-    out = placed(sized, sources, seed).join(spans, ["sidx", "pos"]).withColumn("_text", F.when(F.col("_n") == F.col("size"), text).otherwise(F.array_join(words, " ")))
+    out = keyed.join(wanted, keyed["_loom_d"].eqNullSafe(wanted["doc_id"]) & (keyed["_loom_h"] == wanted["h"]) & (keyed["_loom_c"] == wanted["_copy"]))
+    out = out.select("_row", "_slot", "_first", F.when(F.col("_n") == F.col("size"), text).otherwise(F.array_join(words, " ")).alias("_text"))
+    out = out.repartitionByRange("_slot").sortWithinPartitions("_slot", "_first")
     changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)

@@ -71,12 +71,17 @@ r AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, sidx ROWS BETWEEN UNBO
   sum(w) OVER (ORDER BY cap / w, sidx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, row_number() OVER (ORDER BY cap / w, sidx) AS pos FROM c),
 k AS (SELECT *, (total - before) * w >= cap * rest AS capped FROM r),
 l AS (SELECT arg_min((total - before) / rest, pos) AS level FROM k WHERE NOT capped),
-t AS (SELECT source, source_size, CASE WHEN capped OR level IS NULL THEN cap ELSE least(level * w, cap) END AS target FROM k, l),
-o AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5) AS words,
-  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, 'null') || ':17'), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(start + size, words) - start) + greatest(0, least(start + source_size + size, words) - (start + source_size)))::BIGINT AS taken FROM o""",
+t AS (SELECT source, sidx, source_size, CASE WHEN capped OR level IS NULL THEN cap ELSE least(level * w, cap) END AS target FROM k, l),
+o AS (SELECT row_number() OVER () AS r, d.doc_id, d.size, t.sidx, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS words,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, 'null') || ':17'), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT sidx, ceil(floor(target + 0.5) / 4096)::BIGINT AS n, (sum(ceil(floor(target + 0.5) / 4096)) OVER (ORDER BY sidx) - ceil(floor(target + 0.5) / 4096))::BIGINT AS lo FROM t),
+b AS (SELECT sum(n)::BIGINT AS total, ceil(log2(greatest(sum(n), 1)))::INT AS bits FROM n),
+p AS (SELECT sidx, list_sum([((i >> j) & 1) << (bits - 1 - j) FOR j IN range(bits)] || [0])::BIGINT AS slot FROM b, range((SELECT total FROM b)) x(i) JOIN n ON i >= lo AND i < lo + n),
+q AS (SELECT sidx, slot, row_number() OVER (PARTITION BY sidx ORDER BY slot) - 1 AS block FROM p),
+u AS (SELECT r, sidx, greatest(a, 0) AS s, least(a + size, words) AS e FROM (SELECT r, sidx, size, words, start + k * source_size AS a FROM o, (VALUES (0), (1)) x(k))),
+m AS (SELECT r, sum(least(e, (block + 1) * 4096) - greatest(s, block * 4096))::BIGINT AS taken, min(slot) AS first_slot, max(slot) AS last_slot FROM u JOIN q USING (sidx) WHERE e > s AND block BETWEEN s // 4096 AND (e - 1) // 4096 GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, last_slot FROM o LEFT JOIN m USING (r)""",
     "op4_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
@@ -96,14 +101,14 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
     "op9_urlfilter": rf"""
-WITH l(pattern, category, action, day) AS (VALUES {", ".join(f"('{p}', '{c}', '{a}', DATE '{d}')" for p, _, c, a, d in urlfilter.ENTRIES)}),
-i AS (SELECT pattern, category, action, day AS valid_from, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS valid_to FROM l),
+WITH l(pattern, kind, category, action, day) AS (VALUES {", ".join(f"('{p}', '{k}', '{c}', '{a}', DATE '{d}')" for p, k, c, a, d in urlfilter.ENTRIES)}),
+i AS (SELECT pattern, kind, category, action, day AS valid_from, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS valid_to FROM l),
 p AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS fetched,
   regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '\.$', ''), '^www\.', '') AS host,
-  lower(regexp_extract(url, '^[^:]*://[^/?#]*/([^?#]*)', 1)) AS path FROM pages),
+  trim(regexp_replace(lower(regexp_extract(url, '^[^:]*://[^/?#]*/([^?#]*)', 1)), '/+', '/', 'g'), '/') AS path FROM pages),
 h AS (SELECT page_id, url, fetched, arg_max(pattern, (length(pattern), pattern)) AS pattern, arg_max(category, (length(pattern), pattern)) AS category
   FROM p JOIN i ON action = 'add' AND fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)
-  AND (host = pattern OR ends_with(host, '.' || pattern) OR starts_with(host || '/' || path || '/', pattern || '/') AND contains(pattern, '/')) GROUP BY ALL)
+  AND (kind = 'host' AND (host = pattern OR ends_with(host, '.' || pattern)) OR kind = 'prefix' AND starts_with(host || '/' || path || '/', pattern || '/')) GROUP BY ALL)
 SELECT p.page_id, nullif(p.host, '') AS host, p.fetched, h.pattern IS NOT NULL AS blocked, h.category, h.pattern FROM p LEFT JOIN h USING (page_id, url, fetched)""",
     "op10_quality": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),

@@ -50,3 +50,25 @@ def test_mixed_documents(spark):
     for r in out.collect():
         got[r.doc_id] += len((r.text or "").split())
     assert {k: v for k, v in taken.items() if v} == dict(got)
+
+
+def test_the_mix_is_in_order(spark):
+    """What the rows of the mix are sorted by: any beginning of it holds each source's share, and slots agree with mix."""
+    data = [(i, "w " * (5 + i % 40), "abc"[i % 3], len("w " * (5 + i % 40))) for i in range(1500)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars int")
+    out = m.mixed_documents(df, block=64).collect()
+    targets = {r.source: r.words for r in m.targets(df.select("source", m.word_count("text").alias("size"))).collect()}
+    total, seen, so_far = sum(targets.values()), defaultdict(int), 0
+    for r in out:
+        seen[r.source] += len(r.text.split())
+        so_far += len(r.text.split())
+        assert r.n_chars == len(r.text)
+        for s, t in targets.items():
+            assert abs(seen[s] - so_far * t / total) < 64 * 12
+    assert so_far == total
+    first = {r.doc_id: r.first_slot for r in m.mix(df, block=64).collect()}
+    met = []
+    for r in out:
+        if r.doc_id not in met:
+            met.append(r.doc_id)
+    assert [first[d] for d in met] == sorted(first[d] for d in met)
