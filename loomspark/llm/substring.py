@@ -1,10 +1,10 @@
-"""Exact substring removal by distributed prefix doubling over a sparse suffix array.
+"""Exact substring removal by names of strings at doubling lengths, thinned by anchors.
 
-A position's rank at length h is the name of its first h bytes. Names double: the name at 2h comes from the pair of names
-(rank at p, rank at p + h); equal strings, and only they, share a name (64-bit hashes, always used in pairs or with an
-anchor's name). A position is settled when its rank is unique at some length (it never comes back) or still shared at the
-threshold (it starts a repeated string). Plain doubling sorts a row for every byte, about ten times the input each round, so
-three facts thin the rows before Spark sorts them:
+This stands in for plain distributed prefix doubling, in which Spark sorts a (rank, rank) pair for every byte at each offset and ranks anew: its
+rows alone pass the disk that may be used (the README has figures). Kept from it are the doubling of names, and that a position is settled as
+soon as its name is unique, or still shared at the threshold. The name of 2h bytes comes from the pair of names (at p, at p + h). Names are
+64-bit hashes in place of ranks, so they need no sort of all positions; equal strings share a name, and strings are taken for equal where two independent
+names (128 bits in all) agree. Texts made to collide under the constants below could fool it; chance does not. Three facts thin the rows before Spark groups them:
 
 1. Rank at 32 bytes, sparse. Every window of ``length`` bytes is served by one anchor: the position in it whose 32-byte
    name is least. Equal windows have equal anchors at equal distances, so a window whose anchor's rank is
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import discard, materialise, utf8
@@ -41,6 +41,7 @@ PART = 1 << 18
 POS_BITS = 22
 N_BITS = 14
 PIECE = 8
+SALTS = 8
 U = np.uint64
 
 
@@ -251,8 +252,10 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
         raise ValueError("length is out of range")
     start = F.col("pos").bitwiseAND((1 << 32) - 1)
     runs = run_rows(texts, length)
-    shared = runs.groupBy(_name().alias("short")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("short")
-    runs = materialise(runs.join(shared, _name() == F.col("short"), "left_semi").withColumn("weight", F.lit(1)), "runs")
+    shared = runs.groupBy(_name().alias("short")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    shared = shared.select("short", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    salted = runs.withColumn("_salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)))  # a common passage's anchor is no single task
+    runs = materialise(salted.join(shared, (_name() == F.col("short")) & (F.col("_salt") == F.col("salt")), "left_semi").drop("_salt").withColumn("weight", F.lit(1)), "runs")
     of_runs, still, classes = settle(runs)
     of_runs = materialise(of_runs, "spans")
     of_text = still.withColumns({"th": F.shiftright("pos", 32).cast("int"), "start": start}).groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "start", "n", "weight")).alias("runs"))
@@ -272,8 +275,13 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     of_windows = materialise(windows.where("weight = 1").join(pairs, ["name", "run"], "left_semi").select("doc", "pos", F.lit(1).cast("long").alias("n")), "spans")
     discard(windows)
     spans = of_runs.union(of_pieces).union(of_windows)
-    spans = spans.select("doc", F.shiftright("pos", 32).cast("int").alias("th"), F.struct(start.alias("start"), (start + F.col("n") + length - 1).alias("end")).alias("span"))
-    return spans.groupBy("doc", "th").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    spans = spans.select("doc", F.shiftright("pos", 32).cast("int").alias("th"), start.alias("start"), (start + F.col("n") + length - 1).alias("end"))
+    # Spans that meet become one before they are gathered: a text gathers its maximal removed runs only.
+    w = Window.partitionBy("doc", "th").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("_new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = spans.groupBy("doc", "th", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return islands.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:

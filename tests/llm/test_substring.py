@@ -48,3 +48,11 @@ def test_repeated_rows_nulls_and_cleaning(spark):
     assert got == [(0, 5, 0), (0, 401, 400), (1, 400, 400), (1, 400, 400), (2, 0, 0)]
     assert sorted(str(r.text) for r in s.without_repeats(df).collect()) == ["", "", "!", "None", "short"]
     assert s.remove_repeats(df.where("false")).count() == 0
+
+
+def test_a_long_text_of_one_letter(spark):
+    """Every window is repeated: one removed run, gathered as one."""
+    n = 3_000_000
+    df = spark.createDataFrame([(1, "a" * n), (2, "unlike")], "doc_id long, text string")
+    spans = s.repeated_spans(s.texts_of(df), 200).collect()
+    assert [[(x.start, x.end) for x in r.spans] for r in spans] == [[(0, n)]]
