@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import let
 from loomspark.operators.lexical import tokens, top_k
 
 
@@ -30,8 +31,7 @@ def truncate_normalize(v: Column | str, dims: int | None = None, floor: float =
     """The first ``dims`` components, scaled to length one."""
     v = F.col(v) if isinstance(v, str) else v
     cut = F.slice(v, 1, dims) if dims else v
-    length = F.greatest(norm(cut), F.lit(floor))
-    return F.transform(cut, lambda x: x.cast("double") / length)
+    return let(cut, lambda c: let(F.greatest(norm(c), F.lit(floor)), lambda n: F.transform(c, lambda x: x.cast("double") / n)))
 
 
 def finite(v: Column) -> Column:
@@ -53,10 +53,8 @@ def index_table(vectors: DataFrame, column: str = "embedding", metric: str = "ip
 
 def hashed_encoder(text: Column | str, dims: int = 64) -> Column:
     """A deterministic stand-in for a trained encoder: counts of hashed tokens, at length one."""
-    t = tokens(text)
-    slots = F.transform(t, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return truncate_normalize(counts)
+    slots = F.transform(tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
+    return truncate_normalize(let(slots, lambda held: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(held, lambda s: s == i)).cast("double"))))
 
 
 def _block_top(asked: pa.Table, there: pa.Table, k: int, metric: str) -> pa.Table:
