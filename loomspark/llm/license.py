@@ -43,6 +43,17 @@ NOTICES = {
     "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."),
     "Proprietary": ("All rights reserved.", "Copyright 2023 Example Corporation. All rights reserved.", "No part of this publication may be reproduced without prior written permission of the publisher."),
 }
+#: Longer public notices, as files carry them.
+FULL_NOTICES = {
+    "Apache": ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",),
+    "BSD": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",),
+    "GPL": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program. If not, see the licenses page of the GNU project."),
+    "LGPL": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at the site of Mozilla.",),
+    "CC0": ("To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",),
+}
+NOTICES = {family: (*FULL_NOTICES.get(family, ()), *short) for family, short in NOTICES.items()}
 #: Sentences with words of notices that are none.
 ORDINARY = (
     "The driver showed his license to the officer at the public office.", "The band released a new record under the terms of the deal.", "All members of the union reserved the hall for the work.", "The general public may use the library free of charge.", "The version of events was published without permission.",
@@ -145,18 +156,22 @@ def confirmed(paragraph: str, family: str, share: float = 0.5) -> bool:
     return any(len(n & own) >= share * len(n) for n in _notice_grams(family))
 
 
+def design(model: Model, data: list[tuple[str, str]]) -> np.ndarray:
+    x = np.zeros((len(data), len(model.vocabulary)))
+    for i, (text, _) in enumerate(data):
+        at = model.features(text)
+        x[i, at] = 1 / np.sqrt(max(1, len(at)))
+    return x
+
+
 def train(seed: int = 3, rounds: int = 400, rate: float = 2.0, decay: float = 1e-4, precision: float = 0.99) -> Model:
+    """A model fitted to three quarters of the drawings; its temperature and threshold come from the rest."""
     data = training_set(seed)
     classes = (*NOTICES, NONE)
     grams = {g for text in (*[n for x in NOTICES.values() for n in x], *ORDINARY) for g in grams_of(words_of(text))}
     vocabulary = {g: i for i, g in enumerate(sorted(grams))}
     blank = Model(classes, vocabulary, np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes)), 1.0, 0.0)
-    x = np.zeros((len(data), len(vocabulary)))
-    for i, (text, _) in enumerate(data):
-        at = blank.features(text)
-        x[i, at] = 1 / np.sqrt(max(1, len(at)))
-    y = np.array([classes.index(f) for _, f in data])
-    cut = len(data) * 3 // 4
+    x, y, cut = design(blank, data), np.array([classes.index(f) for _, f in data]), len(data) * 3 // 4
     w, b, hot = blank.weights, blank.bias, np.eye(len(classes))[y[:cut]]
     for _ in range(rounds):
         z = x[:cut] @ w + b
@@ -180,7 +195,10 @@ def train(seed: int = 3, rounds: int = 400, rate: float = 2.0, decay: float = 1e
         if sure.any() and (best[sure] == held[sure]).mean() >= precision:
             threshold = float(t)
             break
-    return Model(classes, vocabulary, w, b, temperature, threshold)
+    model = Model(classes, vocabulary, w, b, temperature, threshold)
+    if classes[int(model.probabilities(np.zeros(0, np.int64)).argmax())] != NONE:
+        raise ValueError("without any known word the model must say none")
+    return model
 
 
 SCHEMA = "doc_id long, n_paragraphs long, n_licences long, n_unknown long, families string, main_family string"
@@ -271,7 +289,6 @@ def scan(text: str, model: Model) -> tuple[int, int, int, str, str | None]:
 def licence_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Rows of SCHEMA, one for each input row."""
     model = model or train()
-    assert model.classes[int(model.probabilities(np.zeros(0, np.int64)).argmax())] == NONE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
