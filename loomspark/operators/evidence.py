@@ -33,6 +33,8 @@ def segments(results: DataFrame) -> DataFrame:
     What depends on the query or the title only is made once a result, before its segments are told apart.
     """
     whole = F.substring(T.collapse("text"), 1, 600)
+    # Few bytes, but much work a byte: spread over all cores, which the size of the rows alone would not ask for.
+    results = results.repartition(results.sparkSession.sparkContext.defaultParallelism)
     made = results.select("query_id", "source_id", T.terms("query").alias("_w"), T.query_terms("title").alias("title_terms"), T.sentences("text").alias("_cut"), F.when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>")).alias("_whole"))
     own = made.select("query_id", "source_id", F.array_distinct("_w").alias("terms"), T.phrases(F.col("_w")).alias("phrases"), "title_terms", F.when(F.size("_cut") > 0, F.col("_cut")).otherwise(F.col("_whole")).alias("_own"))
     return own.select("query_id", "source_id", "terms", "phrases", "title_terms", F.posexplode("_own").alias("pos", "segment"))

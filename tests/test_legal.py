@@ -1,3 +1,8 @@
+import hashlib
+import unicodedata
+
+import pytest
+
 from loomspark.operators import chunker, expand, graph
 
 DOCUMENT = """NGHỊ ĐỊNH
@@ -43,6 +48,25 @@ def test_chunks_links_and_graph(spark):
     assert sorted(r.edge_pos for r in edges.collect()) == list(range(8))
 
 
+def test_decomposed_text_and_node_attributes(spark):
+    """Decomposed text gives the same chunks; virtual levels, external numbers and attributes are as they are told to be."""
+    apart = unicodedata.normalize("NFD", DOCUMENT)
+    c = chunker.chunk(spark.createDataFrame([(1, "12/2025/NĐ-CP", apart, "Tiêu đề")], "document_id long, document_number string, content string, title string")).cache()
+    assert {r.id for r in c.collect()} == {r.id for r in chunks(spark).collect()}
+    nodes = {(r.node_type, r.label): r for r in graph.build_nodes(c).collect()}
+    assert {k for k in nodes if k[0] in ("document", "part", "section", "external_document")} == {("document", "Tiêu đề"), ("part", "Không có Phần"), ("section", "Không có Mục"), ("external_document", "43/2019/QH14"), ("external_document", "81/2021/NĐ-CP")}
+    assert nodes["external_document", "43/2019/QH14"].node_id == "external_doc:" + hashlib.sha1(b"43/2019/QH14").hexdigest()[:20]
+    assert all(r.document_number == "12/2025/NĐ-CP" and r.resolution_status == "internal" for k, r in nodes.items() if k[0] != "external_document")
+    assert nodes["article", "Điều 1. Phạm vi điều chỉnh"].source_chunk_ids == ["1_dieu_1_0001"]
+    with pytest.raises(ValueError):
+        chunker.chunk(c, limit=0)
+
+
+def test_selection_goes_as_far_as_it_must(spark):
+    e = spark.createDataFrame([(f"{i:02}", f"{i + 1:02}") for i in range(20)], "source string, target string")
+    assert expand.select_around(e, "00", 100).agg({"level": "max"}).first()[0] == 20
+
+
 def test_bfs_first_visit_wins(spark):
     edges = spark.createDataFrame([("S", "A", 2, 0), ("S", "B", 1, 1), ("A", "C", 1, 2), ("B", "C", 5, 3)], "source string, target string, weight int, edge_pos long")
     nodes = spark.createDataFrame([(x, [x.lower()], i) for i, x in enumerate("SABC")], "node_id string, source_chunk_ids array<string>, node_pos long")
