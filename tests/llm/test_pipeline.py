@@ -78,3 +78,24 @@ def test_queries_against_sql(spark, duck: duckdb.DuckDBPyConnection, name):  # n
 def test_entry_has_all():
     names = set(entry.queries())
     assert {"pipeline", *queries.QUERIES} <= names and len([n for n in names if n.startswith("op")]) == 10
+
+
+def test_run_on_awkward_tables(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows, columns with names of intermediate ones; then no rows at all."""
+    long = ["\n".join(x.split("\n")[:4]) for x in texts()[3:9]]
+    rows = [(i, t, "en", "s" if i % 2 else None, len(t), "x", 1) for i, t in enumerate(long)]
+    rows += [rows[1], rows[1], (None, long[2] + " And more.", None, None, None, None, None), (None, None, None, None, None, None, None), (99, "", "en", "s", 0, "x", 1), (98, "short", "en", None, 5, "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int, slot string, size int")
+    for name, table in (("some", df), ("none", df.where("false"))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = pipe.run(spark, f"{tmp_path}/{name}").collect()
+        if name == "none":
+            assert not got
+            continue
+        assert {r.doc_id for r in got} <= {*range(len(long)), None} and len({r.doc_id for r in got}) >= len(long) // 2
+        by = defaultdict(list)
+        for r in got:
+            by[r.sequence_id].append((r.offset, r.length))
+        for own in by.values():
+            own.sort()
+            assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(n for _, n in own) <= 2048
