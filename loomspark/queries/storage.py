@@ -156,7 +156,7 @@ def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     known = relevant.groupBy("query_id").agg(F.collect_list(F.col("chunk_id").cast("string")).alias("relevant_chunk_ids"))
     asked = items.join(known, "query_id", "left").withColumn("relevant_chunk_ids", F.coalesce("relevant_chunk_ids", F.array().cast("array<string>")))
     io.write_evaluation(evaluate.summary(metrics, ks), evaluate.query_details(metrics, ranked, asked, ks), path, query_count=asked.count())
-    rows = spark.read.option("header", True).option("escape", '"').csv(f"{path}/query_level_results")
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{path}/query_level_results")
     listed = lambda c: F.size(F.from_json(c, "array<string>"))
     return rows.select("query_id", F.round(F.col("recall_5").cast("double"), 6).alias("recall_5"), F.round(F.col("mrr_10").cast("double"), 6).alias("mrr_10"), (F.col("miss") == "true").alias("miss"), listed("ranked_chunk_ids").alias("n_ranked"), listed("relevant_chunk_ids").alias("n_relevant"))
 
