@@ -12,6 +12,9 @@ under the loss mask) parts, message by message: a conversation is never held as
 ``escape`` makes control strings inside texts harmless and reversible: every ``<`` followed by backslashes and ``|`` gets one more
 backslash, so no text contains ``<|``; ``unescape`` takes one away. In roles, backslashes and line ends are escaped too.
 
+A template that isn't of this language, or passes the bounds ``PARTS``, ``DEPTH``, ``LONGEST`` or ``LARGEST``, raises TemplateError: when it is compiled, or where only
+values can tell, when it meets them. So neither nesting nor a ``set`` in the loop can grow without limit; texts of the conversation are never bounded.
+
 Defined results: rows of a conversation are ordered by turn, then role, then text, nulls first. Null text or role is empty. A null
 conv_id is a conversation of its own. Repeated rows are repeated turns. Empty tables give an empty result. Other columns are not read.
 """
@@ -31,6 +34,10 @@ CHATML = "{% for m in messages %}<|im_start|>{{ m.role | escape_role }}\n{% if m
 _OPEN, _SHUT = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 
 
+#: Bounds of templates: parts of an expression, tags and parentheses within each other, characters and size of what '+' makes.
+PARTS, DEPTH, LONGEST, LARGEST = 200, 50, 1 << 26, 1 << 62
+
+
 def escape(text: str) -> str:
     return _OPEN.sub(r"<\\\1|", text)
 
@@ -68,6 +75,8 @@ class _Expression:
                 raise TemplateError(f"unexpected {source[at:]!r}")
             self.tokens.append((m.lastindex, m[m.lastindex]))
             at = m.end()
+        if len(self.tokens) > PARTS or sum(x == "(" for kind, x in self.tokens if kind != 1) > DEPTH:
+            raise TemplateError(f"an expression of over {PARTS} parts or {DEPTH} parentheses")
         self.at = 0
 
     def peek(self) -> str | None:
@@ -174,6 +183,8 @@ def parse(source: str) -> list[Node]:
     at = 0
     for m in [*_TAGS.finditer(source), None]:
         body = open_[-1][1]
+        if len(open_) > DEPTH:
+            raise TemplateError(f"more than {DEPTH} tags within each other")
         if literal := source[at : m.start() if m else None]:
             body.append(("out", ("const", literal)))
         if not m:
@@ -216,7 +227,16 @@ def parse(source: str) -> list[Node]:
     return root
 
 
-_BINARY: dict[str, Callable] = {"+": lambda a, b: a + b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
+def _sum(a: object, b: object) -> object:
+    """Two texts or two integers put together."""
+    if type(a) is not type(b) or not isinstance(a, str | int) or isinstance(a, bool):
+        raise TemplateError(f"'+' takes two texts or two integers, not {type(a).__name__} and {type(b).__name__}")
+    if isinstance(a, str) and len(a) + len(b) > LONGEST or isinstance(a, int) and max(abs(a), abs(b)) >= LARGEST:
+        raise TemplateError("a value grows beyond its bound")
+    return a + b
+
+
+_BINARY: dict[str, Callable] = {"+": _sum, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
 
 
 def fold(node: Node) -> Node:

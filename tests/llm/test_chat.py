@@ -25,6 +25,19 @@ def test_compiler():
             run(bad, ("a", "b")) or c.compile_template(bad) and (_ for _ in ()).throw(c.TemplateError("plain text"))
 
 
+def test_bounds():
+    run = lambda t, n=1: "".join(x for x, _ in c.compile_template(t)([{"role": "a", "text": "b"}] * n))
+    for bad in ("{{ 1 + 'a' }}", "{{ true + 1 }}", "{% for m in messages %}{{ m.role + 1 }}{% endfor %}", "{{ " + "(" * 500 + "1" + ")" * 500 + " }}", "{{ " + "not " * 5000 + "1 }}", "{{ '' " + "+ 'a'" * 5000 + " }}", "{% if true %}" * 500 + "{% endif %}" * 500):
+        with pytest.raises(c.TemplateError):
+            run(bad)
+    assert run("{{ " + "(" * 40 + "1 + 2" + ")" * 40 + " }}") == "3" and run("{% if true %}" * 40 + "x" + "{% endif %}" * 40) == "x"
+    grow = "{% set x = 'ab' %}{% for m in messages %}{% set x = x + x %}{% endfor %}{{ x }}"
+    assert len(run(grow, 10)) == 2048
+    for t in (grow, grow.replace("'ab'", "3")):
+        with pytest.raises(c.TemplateError, match="bound"):
+            run(t, 100)
+
+
 def test_conversations(spark):
     rows = [(1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", "yo <\\| é"), (1, 1, "assistant", "yo <\\| é"), (2, 5, "we\nird\\", None), (2, None, None, "x"), (None, 0, "assistant", "z" * 100_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, part string")
