@@ -1,15 +1,19 @@
 """Near copies by an exact join of shingle sets.
 
 A text is the set of its word shingles (64-bit XXH64 hashes, seed 42); two texts link if the Jaccard similarity of their sets is at least
-``percent``. Components of links are groups. At 0.8, SimHash fingerprints differ in about 10 of 64 bits, too many for covering masks,
-so candidates come from prefixes: under any one order of all shingles, two sets that similar share a shingle among the
-first n - ceil(percent of n) + 1 of each. No pair is missed, and every link is verified on the whole sets.
+``percent``. Components of links are groups.
+
+At 0.8, SimHash fingerprints differ in about 10 of 64 bits, too many for covering masks, so candidates come from prefixes: under any one
+order of all shingles, two sets that similar share a shingle among the first n - ceil(percent of n) + 1 of each. No pair is missed.
+
+Every link is verified on the whole sets. Before texts are dealt, pairs that can't link are told by sketches: the parity of the number of a
+set's shingles in each of about 2n cells. Cells that differ are no more than shingles that differ, so no link is lost.
 
 The order has common shingles last: each task counts its own shingles in chunks, the ``COMMON`` most frequent sums (a fixed number) go to
 the driver, and the others come before them by hash. Counts may be partial; the order is one order all the same.
 
-Equal sets are one. Each bucket (sets with a shingle in their prefixes) first links its members to its smallest, which joins large groups
-without their pairs; then only pairs of one bucket that are still in different components are compared.
+Equal sets are one. Each bucket (sets with a shingle in their prefixes) proposes its smallest to its members; a set is compared with the smallest
+that its sketch allows, which joins large groups without their pairs. Then all pairs of one bucket that are still in different components are compared.
 
 Defined results: as in ``simhash``: lower-casing covers A-Z only, a text with fewer than ``words`` words has one shingle, and null, empty
 or blank texts are equal.
@@ -30,54 +34,60 @@ from loomspark.llm.common import discard, materialise, utf8
 from loomspark.llm.simhash import _LOWER, components
 
 COMMON, CHUNK, OFTEN = 1 << 18, 1 << 21, 16
+#: The most cells of a sketch, and parts that the pairs of one set are dealt into.
+CELLS, PARTS = 1 << 15, 16
 
 
-def shingles(data: bytes, words: int = 5) -> np.ndarray:
-    """The sorted distinct hashes of a UTF-8 text's shingles."""
-    own = data.translate(_LOWER).split()
+def hashes(data: bytes | None, words: int = 5) -> np.ndarray:
+    """The hashes of a UTF-8 text's shingles, in the text's order, unsigned; null is empty."""
+    own = (data or b"").translate(_LOWER).split()
     joined, n = b" ".join(own), len(own) - words + 1
     h = xxhash.xxh64_intdigest
     if n <= 1:
-        return np.array([h(joined, 42)], dtype=np.uint64).view(np.int64)
+        return np.array([h(joined, 42)], dtype=np.uint64)
     ends = list(accumulate(map(len, own), lambda a, b: a + b + 1))
     starts = [0, *(e + 1 for e in ends)][:n]
-    return np.unique(np.array([h(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :], strict=True)], dtype=np.uint64).view(np.int64))
+    return np.array([h(joined[s:e], 42) for s, e in zip(starts, ends[words - 1 :], strict=True)], dtype=np.uint64)
+
+
+def shingles(data: bytes | None, words: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of a UTF-8 text's shingles."""
+    return np.unique(hashes(data, words).view(np.int64))
+
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each of at least 64 and at most ``CELLS`` cells: 1 if an odd number of the set's shingles is in it."""
+    cells = min(CELLS, max(64, 1 << (2 * len(s) - 1).bit_length()))
+    return np.packbits(np.bincount(s & (cells - 1), minlength=cells) & 1, bitorder="little").tobytes()
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]).astype(np.int64)))
+
+def unlike(x: bytes, y: bytes) -> int:
+    """In how many cells two sketches differ, the larger folded to the smaller: at most the number of shingles in one set only."""
+    small, large = (np.frombuffer(k, dtype=np.uint64) for k in sorted((x, y), key=len))
+    return int(np.bitwise_count(small ^ np.bitwise_xor.reduce(large.reshape(-1, len(small)), axis=0)).sum())
 
 
 def set_keys(src: DataFrame, words: int) -> DataFrame:
-    """src: (_loom_d, _loom_h, _t), texts as bytes. Rows (_loom_d, _loom_h, key, n): key names the text's set of n shingles."""
+    """src: (_loom_d, _loom_h, _t), texts as bytes. Rows (_loom_d, _loom_h, key, n, sk): key names the text's set of n shingles; its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                sets = [shingles(x.as_py(), words) for x in b.column(2)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())], ["_loom_d", "_loom_h", "key", "n"])
+                rows = []
+                for x in b.column(2):
+                    s = shingles(x.as_py(), words)
+                    rows.append((key_of(s), len(s), sketch(s)))
+                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["_loom_d", "_loom_h", "key", "n", "sk"])
 
-    return src.mapInArrow(run, f"_loom_d {src.schema[0].dataType.simpleString()}, _loom_h long, key long, n int")
+    return src.mapInArrow(run, f"_loom_d {src.schema[0].dataType.simpleString()}, _loom_h long, key long, n int, sk binary")
 
 
 def key_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 7)).view(np.int64))
 
 
-def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """texts: (key, _t). Rows (key, s): the set of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(x.as_py(), words) for x in b.column(1)])], ["key", "s"])
-
-    return texts.mapInArrow(run, "key long, s array<long>")
-
-
 def common_shingles(src: DataFrame, words: int) -> np.ndarray:
     """At most ``COMMON`` frequent shingles, the most frequent last."""
 
@@ -131,16 +141,47 @@ def buckets_of(src: DataFrame, words: int, common: np.ndarray, percent: int) ->
     return rows.groupBy("bucket").agg(F.collect_set(F.struct("key", "n")).alias("m")).where(F.size("m") > 1)
 
 
+def possible(pairs: DataFrame, best: DataFrame, percent: int) -> DataFrame:
+    """pairs: (a, b). Those whose sizes and sketches allow a link."""
+    of = lambda c: best.select(F.col("key").alias(c), F.col("m.n").alias(f"n{c}"), F.col("m.sk").alias(f"k{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "ka", "kb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.asarray(batch.column(2)).astype(np.int64) + np.asarray(batch.column(3))
+            apart_by = np.array([unlike(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array((100 + percent) * apart_by <= (100 - percent) * n))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, src: DataFrame, best: DataFrame, words: int, percent: int) -> DataFrame:
-    """pairs: (a, b). Those whose sets are similar enough; sets are made anew from the text that stands for each key in ``best``."""
-    pairs = materialise(pairs, "pairs")
+    """pairs: (a, b). Those whose sets are similar enough; sets are made anew from the text that stands for each key in ``best``.
+
+    Texts are dealt, not sets, which are larger: b's to each pair, a's once to each part of its pairs.
+    """
+    pairs = materialise(pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS))), "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     stands = best.join(named, "key", "left_semi").select("key", F.col("m._loom_d").alias("_d"), F.col("m._loom_h").alias("_h"))
     texts = src.join(stands, src["_loom_d"].eqNullSafe(stands["_d"]) & (src["_loom_h"] == stands["_h"])).select("key", "_t")
-    wanted = materialise(shingle_sets(texts.dropDuplicates(["key"]), words), "wanted")
-    one = lambda k: wanted.select(F.col("key").alias(k), F.col("s").alias(f"s{k}"))
-    both = pairs.join(one("a"), "a").join(one("b"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    out = materialise(both.where(F.col("i") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"), "links")
+    wanted = materialise(texts.dropDuplicates(["key"]), "wanted")
+    one = lambda k: wanted.select(F.col("key").alias(k), F.col("_t").alias(f"t{k}"))
+    hubs = pairs.select("a", "part").distinct().join(one("a"), "a")
+    both = pairs.join(one("b"), "b").join(hubs, ["a", "part"]).select("a", "b", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, np.zeros(0, np.int64)
+        for batch in batches:
+            alike = []
+            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, own = a, shingles(ta.as_py(), words)
+                other = shingles(tb.as_py(), words)
+                i = len(np.intersect1d(own, other, assume_unique=True))
+                alike.append(100 * i >= percent * (len(own) + len(other) - i))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    out = materialise(both.mapInArrow(run, "a long, b long"), "links")
     discard(pairs, wanted)
     return out
 
@@ -171,11 +212,13 @@ def labelled(src: DataFrame, best: DataFrame, words: int, percent: int) -> DataF
     buckets = materialise(buckets_of(src, words, common_shingles(src, words), percent), "buckets")
     least = F.array_min("m")
     stars = buckets.select(least.alias("l"), F.explode("m").alias("x")).where("x.key <> l.key").where(F.least("x.n", "l.n") * 100 >= percent * F.greatest("x.n", "l.n"))
-    links = verified(stars.select(F.col("l.key").alias("a"), F.col("x.key").alias("b")).distinct(), src, best, words, percent)
+    pairs = stars.select(F.col("l.key").alias("a"), F.col("x.key").alias("b")).distinct()
+    first = possible(pairs, best, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = verified(first, src, best, words, percent)
     labels = components(links)
     members = buckets.select("bucket", F.explode("m").alias("x")).select("bucket", "x.*").join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label"))
     mixed = members.groupBy("bucket").agg(F.collect_list(F.struct("key", "n", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("m")
-    more = verified(apart(mixed, percent), src, best, words, percent)
+    more = verified(possible(apart(mixed, percent), best, percent), src, best, words, percent)
     discard(buckets)
     if not more.isEmpty():
         labels = components(links.union(more))
@@ -185,16 +228,16 @@ def labelled(src: DataFrame, best: DataFrame, words: int, percent: int) -> DataF
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """The document with the smallest doc_id of each group (nulls last, then by text hash); of equal rows one. Columns stay.
 
-    Shingle sets are as large as the texts: they are made from the texts in each pass that needs them, and only those of candidates are written.
+    Shingle sets are as large as the texts: they are made from the texts in each pass that needs them, and only texts of candidates are written.
     """
     marks = ["_loom_d", "_loom_h"]
     keyed = docs.withColumns({"_loom_d": F.col("doc_id"), "_loom_h": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     src = keyed.select(*marks, utf8(text).alias("_t"))
     every = materialise(set_keys(src, words), "every-key")
-    first = F.min(F.struct(F.col("_loom_d").isNull().alias("n"), "_loom_d", "_loom_h")).alias("m")
+    first = F.min(F.struct(F.col("_loom_d").isNull().alias("none"), "_loom_d", "_loom_h", "n", "sk")).alias("m")
     best = materialise(every.groupBy("key").agg(first), "set-keys")
     labels = labelled(src, best, words, percent)
-    chosen = best.join(labels, "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("m").alias("m")).select(F.col("m._loom_d").alias("_d"), F.col("m._loom_h").alias("_h"))
+    chosen = best.select("key", F.struct("m.none", "m._loom_d", "m._loom_h").alias("m")).join(labels, "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("m").alias("m")).select(F.col("m._loom_d").alias("_d"), F.col("m._loom_h").alias("_h"))
     kept = keyed.join(chosen, keyed["_loom_d"].eqNullSafe(chosen["_d"]) & (keyed["_loom_h"] == chosen["_h"]), "left_semi")
     if not every.groupBy(*marks).count().where("count > 1").isEmpty():  # equal rows
         kept = kept.dropDuplicates(marks)

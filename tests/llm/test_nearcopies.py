@@ -58,3 +58,41 @@ def test_order_of_common_shingles_changes_nothing(spark, monkeypatch):
     src = docs.selectExpr("doc_id _loom_d", "0L _loom_h", "cast(text as binary) _t")
     assert len(n.common_shingles(src, 5)) > 30
     assert sorted(r.doc_id for r in n.one_of_each(docs).collect()) == sorted(set(brute(texts)))
+
+
+def test_sketches_lose_no_link():
+    r = random.Random(6)
+    for size in (1, 2, 5, 40, 300, 30000):
+        whole = n.np.unique(n.np.array([r.getrandbits(64) - (1 << 63) for _ in range(size)], dtype=n.np.int64))
+        for share in (0.0, 0.05, 0.3, 1.0):
+            other = n.np.unique(n.np.array([r.getrandbits(64) - (1 << 63) if r.random() < share else int(x) for x in whole if r.random() > share / 3] or [1], dtype=n.np.int64))
+            apart = len(n.np.setxor1d(whole, other))
+            assert n.unlike(n.sketch(whole), n.sketch(other)) == n.unlike(n.sketch(other), n.sketch(whole)) <= apart
+            assert share or not apart
+    far = [n.np.unique(n.np.array([r.getrandbits(64) - (1 << 63) for _ in range(300)], dtype=n.np.int64)) for _ in range(2)]
+    assert 180 * n.unlike(*map(n.sketch, far)) > 20 * 600 and len(n.sketch(far[0])) == 128
+
+
+def test_texts_go_to_few_pairs(spark, monkeypatch):
+    """A set is dealt to one pair, not to one in each of its buckets; what is written are texts, not sets."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("aeiourstlm") for _ in range(5))
+    base = [word() for _ in range(200)]
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for _ in range(3):
+            t[r.randrange(200)] = word()
+        texts.append(" ".join(t))
+    assert len(set(texts)) == 60
+    real, rows = n.materialise, {}
+
+    def told(df, name):
+        out = real(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(n, "materialise", told)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in n.one_of_each(docs).collect()) == sorted(set(brute(texts)))
+    assert sum(rows["pairs"]) <= 3 * 60
