@@ -1,9 +1,10 @@
-"""Near copies by an exact join of shingle sets.
+"""Near copies by SimHash and covering masks, each link verified on shingle sets, and an exact way for the pairs beyond the masks' radius.
 
 A text is the set of its word shingles (64-bit XXH64 hashes, seed 42); two texts link if the Jaccard similarity of their sets is at least
 ``percent``. Components of links are groups.
 
-At 0.8, SimHash fingerprints differ in about 10 of 64 bits, too many for covering masks, so candidates come from prefixes: under any one
+First comes operator 1's method: SimHash fingerprints of the shingles, covering masks for ``RADIUS`` differing bits, a star in each connected group
+of a bucket. At 0.8, fingerprints differ in about 10 of 64 bits, too many for covering masks, so the rest comes from prefixes: under any one
 order of all shingles, two sets that similar share a shingle among the first n - ceil(percent of n) + 1 of each. No pair is missed.
 
 Every link is verified on the whole sets. Before texts are dealt, pairs that can't link are told by sketches: the parity of the number of a
@@ -31,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import discard, materialise, utf8
-from loomspark.llm.simhash import _LOWER, components
+from loomspark.llm.simhash import _LOWER, components, star_links
 
 COMMON, CHUNK, OFTEN = 1 << 18, 1 << 21, 16
-#: The most cells of a sketch, and parts that the pairs of one set are dealt into.
-CELLS, PARTS = 1 << 15, 16
+#: Differing bits that the masks cover, the most cells of a sketch, and parts that the pairs of one set are dealt into.
+RADIUS, CELLS, PARTS = 3, 1 << 15, 16
 
 
 def hashes(data: bytes | None, words: int = 5) -> np.ndarray:
@@ -55,6 +56,14 @@ def shingles(data: bytes | None, words: int = 5) -> np.ndarray:
     return np.unique(hashes(data, words).view(np.int64))
 
 
+def majority(h: np.ndarray) -> int:
+    """The SimHash fingerprint of a text's shingle hashes, as a signed long."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 65536):
+        counts += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
+
+
 def sketch(s: np.ndarray) -> bytes:
     """A bit for each of at least 64 and at most ``CELLS`` cells: 1 if an odd number of the set's shingles is in it."""
     cells = min(CELLS, max(64, 1 << (2 * len(s) - 1).bit_length()))
@@ -68,7 +77,7 @@ def unlike(x: bytes, y: bytes) -> int:
 
 
 def set_keys(src: DataFrame, words: int) -> DataFrame:
-    """src: (_loom_d, _loom_h, _t), texts as bytes. Rows (_loom_d, _loom_h, key, n, sk): key names the text's set of n shingles; its sketch."""
+    """src: (_loom_d, _loom_h, _t), texts as bytes. Rows (_loom_d, _loom_h, key, n, fp, sk): key names the text's set of n shingles; its fingerprint and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -76,12 +85,13 @@ def set_keys(src: DataFrame, words: int) -> DataFrame:
                 b = whole.slice(at, 256)
                 rows = []
                 for x in b.column(2):
-                    s = shingles(x.as_py(), words)
-                    rows.append((key_of(s), len(s), sketch(s)))
-                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["_loom_d", "_loom_h", "key", "n", "sk"])
+                    h = hashes(x.as_py(), words)
+                    s = np.unique(h.view(np.int64))
+                    rows.append((key_of(s), len(s), majority(h), sketch(s)))
+                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["_loom_d", "_loom_h", "key", "n", "fp", "sk"])
 
-    return src.mapInArrow(run, f"_loom_d {src.schema[0].dataType.simpleString()}, _loom_h long, key long, n int, sk binary")
+    return src.mapInArrow(run, f"_loom_d {src.schema[0].dataType.simpleString()}, _loom_h long, key long, n int, fp long, sk binary")
 
 
 def key_of(s: np.ndarray) -> int:
@@ -141,6 +151,15 @@ def buckets_of(src: DataFrame, words: int, common: np.ndarray, percent: int) ->
     return rows.groupBy("bucket").agg(F.collect_set(F.struct("key", "n")).alias("m")).where(F.size("m") > 1)
 
 
+def near_fingerprints(best: DataFrame) -> DataFrame:
+    """Rows (a, b): keys of sets whose fingerprints are equal, or linked by a star of operator 1's buckets."""
+    roots = materialise(best.groupBy(F.col("m.fp").alias("fp")).agg(F.min("key").alias("root")), "roots")
+    of = lambda c: roots.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}"))
+    stars = star_links(roots.select("fp"), RADIUS).join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    same = best.select("key", F.col("m.fp").alias("fp")).join(roots, "fp").where("key <> root").select(F.col("root").alias("a"), F.col("key").alias("b"))
+    return stars.union(same)
+
+
 def possible(pairs: DataFrame, best: DataFrame, percent: int) -> DataFrame:
     """pairs: (a, b). Those whose sizes and sketches allow a link."""
     of = lambda c: best.select(F.col("key").alias(c), F.col("m.n").alias(f"n{c}"), F.col("m.sk").alias(f"k{c}"))
@@ -209,12 +228,15 @@ def apart(members: DataFrame, percent: int) -> DataFrame:
 
 def labelled(src: DataFrame, best: DataFrame, words: int, percent: int) -> DataFrame:
     """src: (_loom_d, _loom_h, _t); best: (key, m), the text that stands for each set. Rows (key, label): sets with a link, and their component."""
+    links = verified(possible(near_fingerprints(best), best, percent), src, best, words, percent)
+    labels = materialise(components(links), "labels")
     buckets = materialise(buckets_of(src, words, common_shingles(src, words), percent), "buckets")
     least = F.array_min("m")
     stars = buckets.select(least.alias("l"), F.explode("m").alias("x")).where("x.key <> l.key").where(F.least("x.n", "l.n") * 100 >= percent * F.greatest("x.n", "l.n"))
-    pairs = stars.select(F.col("l.key").alias("a"), F.col("x.key").alias("b")).distinct()
-    first = possible(pairs, best, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = verified(first, src, best, words, percent)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    stars = stars.select(F.col("l.key").alias("a"), F.col("x.key").alias("b")).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(_a, a) <> coalesce(_b, b)")
+    first = possible(stars.select("a", "b"), best, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = links.union(verified(first, src, best, words, percent))
     labels = components(links)
     members = buckets.select("bucket", F.explode("m").alias("x")).select("bucket", "x.*").join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label"))
     mixed = members.groupBy("bucket").agg(F.collect_list(F.struct("key", "n", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("m")
@@ -234,7 +256,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, text: str =
     keyed = docs.withColumns({"_loom_d": F.col("doc_id"), "_loom_h": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     src = keyed.select(*marks, utf8(text).alias("_t"))
     every = materialise(set_keys(src, words), "every-key")
-    first = F.min(F.struct(F.col("_loom_d").isNull().alias("none"), "_loom_d", "_loom_h", "n", "sk")).alias("m")
+    first = F.min(F.struct(F.col("_loom_d").isNull().alias("none"), "_loom_d", "_loom_h", "n", "fp", "sk")).alias("m")
     best = materialise(every.groupBy("key").agg(first), "set-keys")
     labels = labelled(src, best, words, percent)
     chosen = best.select("key", F.struct("m.none", "m._loom_d", "m._loom_h").alias("m")).join(labels, "key", "left").groupBy(F.coalesce("label", "key").alias("label")).agg(F.min("m").alias("m")).select(F.col("m._loom_d").alias("_d"), F.col("m._loom_h").alias("_h"))

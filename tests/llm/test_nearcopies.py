@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as pipe
 from loomspark.llm import nearcopies as n
+from loomspark.llm.simhash import fingerprint
 
 
 def grams(t):
@@ -96,3 +97,33 @@ def test_texts_go_to_few_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(x.doc_id for x in n.one_of_each(docs).collect()) == sorted(set(brute(texts)))
     assert sum(rows["pairs"]) <= 3 * 60
+
+
+def test_links_of_fingerprints_come_first(spark, monkeypatch):
+    """Operator 1's fingerprints and masks propose links; the pairs that they miss come from prefixes."""
+    texts = [t for t in dict.fromkeys(edited()) if t]
+    for t in [t for t in texts if len(t.split()) > 120][:9]:
+        texts += [f"{t} one", f"{t} one two"]
+    src = spark.createDataFrame([(i, 0, t.encode()) for i, t in enumerate(texts)], "_loom_d long, _loom_h long, _t binary")
+    every = n.set_keys(src, 5)
+    rows = every.collect()
+    assert all(x.fp % (1 << 64) == fingerprint(texts[x._loom_d].encode(), 5) for x in rows)
+    best = n.materialise(every.groupBy("key").agg(n.F.min(n.F.struct("_loom_d", "_loom_h", "n", "fp", "sk")).alias("m")), "best")
+    pairs = [(x.a, x.b) for x in n.near_fingerprints(best).collect()]
+    fps = {x.key: x.fp % (1 << 64) for x in rows}
+    keys = sorted(fps)
+
+    def joined(links):
+        root = {k: k for k in keys}
+        for a, b in links:
+            old, new = root[b], root[a]
+            root = {k: new if v == old else v for k, v in root.items()}
+        return {frozenset(k for k in keys if root[k] == v) for v in root.values()}
+
+    near = [(a, b) for a in keys for b in keys if a < b and (fps[a] ^ fps[b]).bit_count() <= n.RADIUS]
+    assert near and joined(pairs) == joined(near)
+    asked = []
+    real = n.verified
+    monkeypatch.setattr(n, "verified", lambda p, *a: asked.append({frozenset((x.a, x.b)) for x in p.collect()}) or real(p, *a))
+    n.labelled(src, best, 5, 80).count()
+    assert asked[0] and asked[0] <= {frozenset(p) for p in pairs} and asked[1]
