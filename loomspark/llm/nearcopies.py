@@ -133,21 +133,36 @@ def prefix(s: np.ndarray, names: np.ndarray, places: np.ndarray, percent: int) -
     return s[np.lexsort((s, place))[:take]]
 
 
-def buckets_of(src: DataFrame, words: int, common: np.ndarray, percent: int) -> DataFrame:
-    """Rows (bucket, m): the sets (key, n) that have the shingle ``bucket`` in their prefixes, each once, two or more."""
+def prefix_rows(src: DataFrame, words: int, common: np.ndarray, percent: int) -> DataFrame:
+    """Rows (bucket, key, n): a row for each shingle in the prefix of the set (key, n); equal sets of one task are told once."""
     order = np.argsort(common)
     names = common[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                sets = [shingles(x.as_py(), words) for x in whole.column(0).slice(at, 256)]
-                got = [prefix(s, names, order, percent) for s in sets]
+                got, keys, sizes = [np.zeros(0, np.int64)], [0], [0]
+                for x in whole.column(0).slice(at, 256):
+                    s = shingles(x.as_py(), words)
+                    key = key_of(s)
+                    if key not in told:
+                        told.add(key)
+                        got.append(prefix(s, names, order, percent))
+                        keys.append(key)
+                        sizes.append(len(s))
                 each = np.array([len(g) for g in got], dtype=np.int64)
-                keys, sizes = np.array([key_of(s) for s in sets], dtype=np.int64), np.array([len(s) for s in sets], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*got, np.zeros(0, np.int64)])), pa.array(np.repeat(keys, each)), pa.array(np.repeat(sizes, each))], ["bucket", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(np.repeat(np.array(keys, np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["bucket", "key", "n"])
+
+    return src.select("_t").mapInArrow(run, "bucket long, key long, n int")
+
 
-    rows = src.select("_t").mapInArrow(run, "bucket long, key long, n int")
+def buckets_of(src: DataFrame, words: int, common: np.ndarray, percent: int) -> DataFrame:
+    """Rows (bucket, m): the sets (key, n) that have the shingle ``bucket`` in their prefixes, each once, two or more.
+
+    Nearly all buckets of a task are its own: gathered before they are dealt, they would take a task's rows as objects and sorted pages for nothing.
+    """
+    rows = prefix_rows(src, words, common, percent).repartition("bucket")
     return rows.groupBy("bucket").agg(F.collect_set(F.struct("key", "n")).alias("m")).where(F.size("m") > 1)
 
 
@@ -239,7 +254,7 @@ def labelled(src: DataFrame, best: DataFrame, words: int, percent: int) -> DataF
     links = links.union(verified(first, src, best, words, percent))
     labels = components(links)
     members = buckets.select("bucket", F.explode("m").alias("x")).select("bucket", "x.*").join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label"))
-    mixed = members.groupBy("bucket").agg(F.collect_list(F.struct("key", "n", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("m")
+    mixed = members.repartition("bucket").groupBy("bucket").agg(F.collect_list(F.struct("key", "n", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("m")
     more = verified(possible(apart(mixed, percent), best, percent), src, best, words, percent)
     discard(buckets)
     if not more.isEmpty():

@@ -127,3 +127,22 @@ def test_links_of_fingerprints_come_first(spark, monkeypatch):
     monkeypatch.setattr(n, "verified", lambda p, *a: asked.append({frozenset((x.a, x.b)) for x in p.collect()}) or real(p, *a))
     n.labelled(src, best, 5, 80).count()
     assert asked[0] and asked[0] <= {frozenset(p) for p in pairs} and asked[1]
+
+
+def test_rows_of_buckets_are_dealt_before_they_are_gathered(spark):
+    """No task gathers its own rows first, and equal sets of one task are told once; the buckets are those of plain Python."""
+    texts = [t or "" for t in edited()]
+    src = spark.createDataFrame([(t.encode(),) for t in texts * 3], "_t binary").coalesce(1)
+    none = n.np.zeros(0, n.np.int64)
+    sets = {n.key_of(s): s for s in (n.shingles(t.encode()) for t in texts)}
+    want: dict[int, set[int]] = {}
+    for key, s in sets.items():
+        for b in n.prefix(s, none, none, 80):
+            want.setdefault(int(b), set()).add(key)
+    assert n.prefix_rows(src, 5, none, 80).count() == sum(map(len, want.values()))
+    buckets = n.buckets_of(src, 5, none, 80)
+    plan = buckets._jdf.queryExecution().sparkPlan().toString().split("\n")
+    deals = next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line or "Exchange" in line)
+    assert sum("Aggregate" in line for line in plan[:deals]) == 2 and not any("Aggregate" in line for line in plan[deals:])
+    got = {r.bucket: {x.key for x in r.m} for r in buckets.collect()}
+    assert got == {b: m for b, m in want.items() if len(m) > 1} and got
