@@ -1,29 +1,23 @@
 """Structural chunking of legal documents.
 
-Lines are rows; what a line-by-line parser would carry as state is a window over a document's lines. The parser knows three
-phases, BODY, ADMIN (signatures) and APPENDIX, and never goes back, so a line's phase follows from the first lines that switch it.
-Headings are carried forward by ``last(..., ignorenulls)``, articles are numbered by a running count, and blocks of appendices are islands.
-Everything is partitioned by document; a chunk is a group of lines.
+A document is read by a line-by-line parser (``structure.py``), each on its own where it lies: nothing is shuffled, and documents are read once.
+``islands`` and ``carried`` are the same steps for tables of lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from loomspark.functions import patterns as P
 from loomspark.functions import text as T
-from loomspark.operators.citations import extract_links, merge_links
-from loomspark.schema import METADATA, require_columns
-
-
-def _doc() -> WindowSpec:
-    return Window.partitionBy("document_id")
-
-
-def _so_far(last: int = 0) -> WindowSpec:
-    """A document's lines up to this one; up to the one before for -1."""
-    return _doc().orderBy("line_no").rowsBetween(Window.unboundedPreceding, last)
+from loomspark.operators.structure import Chunk, Parser
+from loomspark.plans.tables import slices
+from loomspark.schema import LINK, METADATA, require_columns
 
 
 def join_metadata(content: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -69,110 +63,6 @@ def filter_sector(docs: DataFrame, sector: str) -> DataFrame:
     return out
 
 
-def header_text(content: Column) -> Column:
-    """The text before the first article line, or all of it."""
-    return F.split(content, "(?m)" + P.FIRST_ARTICLE, 2)[0]
-
-
-def lines(docs: DataFrame) -> DataFrame:
-    """(document_id, line_no, line): the lines that aren't blank, in order."""
-    text = T.normalize_text("content")
-    rows = docs.select("document_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return rows.withColumn("line", F.trim("line")).where("line <> ''")
-
-
-def phases(rows: DataFrame) -> DataFrame:
-    """rows with phase and, for appendix lines, the running number and title of their appendix.
-
-    a: the first line that ends the body by a signature mark; p: the first that begins the appendix. A line with ``Nơi nhận:``
-    inside keeps what stands before it in the body (``body_part``), and begins the appendix (``tail_part``) if an appendix keyword follows.
-    """
-    line = F.col("line")
-    rows = rows.withColumns({"is_app_explicit": line.rlike(P.APPENDIX_EXPLICIT) & line.rlike(P.APPENDIX_START), "is_app": line.rlike(P.APPENDIX_START), "has_key": line.rlike(P.APPENDIX_INLINE), "is_inline": line.rlike(P.ADMIN_INLINE), "is_tail": line.rlike(P.ADMIN_TAIL)})
-    rows = rows.withColumn("after_inline", F.when(F.col("is_inline"), F.regexp_extract("line", P.I + r"\b(Nơi\s+nhận\s*:.*)$", 1)))
-    explicit = F.min(F.when(F.col("is_app_explicit"), F.col("line_no"))).over(_doc())
-    rows = rows.withColumn("p1", explicit)
-    rows = rows.withColumn("a", F.min(F.when((F.col("is_inline") | F.col("is_tail")) & (F.col("p1").isNull() | (F.col("line_no") < F.col("p1"))), F.col("line_no"))).over(_doc()))
-    at_a = (F.col("line_no") == F.col("a")) & F.col("is_inline") & F.col("after_inline").rlike(P.APPENDIX_INLINE)
-    later = (F.col("line_no") > F.col("a")) & (F.col("has_key") | F.col("is_app"))
-    rows = rows.withColumn("p", F.min(F.when(at_a | later | (F.col("line_no") == F.col("p1")), F.col("line_no"))).over(_doc()))
-    phase = F.when(F.col("p").isNotNull() & (F.col("line_no") >= F.col("p")), "APPENDIX").when(F.col("a").isNotNull() & (F.col("line_no") >= F.col("a")), "ADMIN").otherwise("BODY")
-    rows = rows.withColumn("phase", phase)
-    first = F.col("line_no") == F.col("p")
-    by_key = first & F.col("a").isNotNull() & (F.col("p") >= F.col("a")) & F.col("has_key")
-    keyed = F.when(F.col("p") == F.col("a"), F.col("after_inline")).otherwise(line)
-    title = F.when(by_key, F.regexp_extract(keyed, P.APPENDIX_INLINE, 0)).when(first | (F.col("is_app_explicit") & (F.col("phase") == "APPENDIX")), line)
-    # An appendix found by keyword begins at the keyword; what stands before it in the line belongs to the signatures.
-    body = F.when(by_key, F.regexp_extract(keyed, P.I + r"(?:" + P.APPENDIX_INLINE.removeprefix(P.I) + r").*$", 0)).otherwise(line)
-    rows = rows.withColumns({"app_title": F.when(F.col("phase") == "APPENDIX", title), "app_line": F.when(F.col("phase") == "APPENDIX", body), "body_part": F.when((F.col("line_no") == F.col("a")) & F.col("is_inline"), F.trim(F.regexp_extract("line", P.I + r"^(.*?)\bNơi\s+nhận\s*:", 1)))})
-    return rows.select("document_id", "line_no", "line", "phase", "app_title", "app_line", "body_part", "a", "p")
-
-
-def headings(rows: DataFrame) -> DataFrame:
-    """Body rows with kind (PART, CHAPTER, SECTION, ARTICLE or TEXT), the article's running number, and part, chapter and section in force."""
-    body = rows.where("phase = 'BODY' or body_part <> ''").withColumn("line", F.when(F.col("phase") == "BODY", F.col("line")).otherwise(F.col("body_part"))).withColumn("whole", F.col("phase") == "BODY")
-    line = F.col("line")
-    kind = F.when(~F.col("whole"), "TEXT").when(line.rlike(P.PART), "PART").when(line.rlike(P.CHAPTER), "CHAPTER").when(line.rlike(P.SECTION), "SECTION").when(line.rlike(P.ARTICLE), "ARTICLE").otherwise("TEXT")
-    body = body.withColumn("kind", kind)
-    title = F.when(F.col("kind") == "PART", F.regexp_extract("line", P.PART, 2)).when(F.col("kind") == "CHAPTER", F.regexp_extract("line", P.CHAPTER, 2)).when(F.col("kind") == "SECTION", F.regexp_extract("line", P.SECTION, 2))
-    body = body.withColumn("own_title", F.trim(title))
-    # A title on the line below belongs to the last untitled heading of the run of structural lines right before it.
-    body = body.withColumn("run", F.sum(F.when(F.col("kind") == "TEXT", 1).otherwise(0)).over(_so_far()))
-    in_run = Window.partitionBy("document_id", "run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    body = body.withColumn("since_article", F.sum(F.when(F.col("kind") == "ARTICLE", 1).otherwise(0)).over(in_run))
-    after = Window.partitionBy("document_id", "run")
-    body = body.withColumn("last_article", F.max("since_article").over(after))
-    pending = F.col("kind").isin("PART", "CHAPTER", "SECTION") & (F.col("own_title") == "") & (F.col("since_article") == F.col("last_article"))
-    body = body.withColumn("pending_at", F.max(F.when(pending, F.col("line_no"))).over(after))
-    following = _doc().orderBy("line_no")
-    first_text = F.min(F.when(F.col("kind") == "TEXT", F.struct("line_no", "line"))).over(following.rowsBetween(1, Window.unboundedFollowing))
-    body = body.withColumn("next_text", first_text)
-    taken = (F.col("line_no") == F.col("pending_at")) & T.looks_like_title(F.col("next_text.line"))
-    body = body.withColumns({"heading": F.when(F.col("kind").isin("PART", "CHAPTER", "SECTION"), F.when(taken, F.concat("line", F.lit(": "), F.col("next_text.line"))).otherwise(F.col("line"))), "title_line": F.when(taken, F.col("next_text.line_no"))})
-    body = body.withColumn("is_title", F.coalesce(F.max("title_line").over(_so_far(-1)) == F.col("line_no"), F.lit(False)))
-    last = lambda kind, since: F.last(F.when(F.col("kind") == kind, F.struct(F.col("line_no").alias("n"), F.col("heading").alias("h"))), ignorenulls=True).over(since)
-    body = body.withColumns({"_p": last("PART", _so_far()), "_c": last("CHAPTER", _so_far()), "_s": last("SECTION", _so_far())})
-    p_at, c_at = F.coalesce("_p.n", F.lit(-1)), F.coalesce("_c.n", F.lit(-1))
-    chapter = F.when(F.col("_c.n") > p_at, F.col("_c.h"))
-    section = F.when((F.col("_s.n") > p_at) & (F.col("_s.n") > c_at), F.col("_s.h"))
-    order = F.sum(F.when(F.col("kind") == "ARTICLE", 1).otherwise(0)).over(_so_far())
-    return body.withColumns({"part": F.col("_p.h"), "chapter": chapter, "section": section, "article_order": order})
-
-
-def article_chunks(body: DataFrame, least: int = 50) -> DataFrame:
-    """A chunk for each article of at least ``least`` characters, without links: body_text is what links are looked for in."""
-    # A heading closes the open article: text after it, before the next article, is no content.
-    body = body.withColumn("closed", F.sum(F.when(F.col("kind").isin("PART", "CHAPTER", "SECTION"), 1).otherwise(0)).over(Window.partitionBy("document_id", "article_order").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
-    own = body.where("article_order > 0 and closed = 0 and not is_title and kind in ('ARTICLE', 'TEXT')")
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line", "kind")))
-    g = own.groupBy("document_id", "article_order").agg(ordered.alias("ls"), *[F.max(F.when(F.col("kind") == "ARTICLE", F.col(c))).alias(c) for c in ("part", "chapter", "section")], F.min("line_no").alias("at"))
-    text = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
-    head = F.element_at("ls", 1)["line"]
-    number, title = F.regexp_extract(head, P.ARTICLE, 1), F.trim(F.regexp_extract(head, P.ARTICLE, 2))
-    g = g.withColumns({"content": F.when(text.contains("|"), T.clean_table(text)).otherwise(T.flatten(text)), "number": number, "articles": F.when(title != "", F.concat(F.lit("Điều "), number, F.lit(". "), title)).otherwise(F.concat(F.lit("Điều "), number)), "body_text": F.array_join(F.transform(F.slice("ls", F.lit(2), F.greatest(F.size("ls") - 1, F.lit(0))), lambda x: x["line"]), " ")})
-    kept = g.where(F.length("content") >= least)
-    return kept.select("document_id", F.lit("article").alias("scope"), "part", "chapter", "section", "articles", "content", "body_text", F.col("at").alias("chunk_at"), F.lit(0).alias("sub"), F.concat(F.lit("_dieu_"), T.ascii_id("number"), F.format_string("_%04d", F.col("article_order").cast("int"))).alias("suffix"))
-
-
-def appendix_chunks(rows: DataFrame, body: DataFrame, limit: int = 3000) -> DataFrame:
-    """Chunks of appendices: islands of table lines and of text lines, in pieces of at most ``limit`` characters."""
-    app = carried(rows.where("phase = 'APPENDIX'"), ["document_id"], "line_no", F.col("app_title").isNotNull(), F.col("app_title"))
-    app = app.withColumnRenamed("head_value", "title").withColumn("kind", line_kind("app_line")).where("app_line <> ''")
-    app = islands(app, ["document_id", "no"], "line_no", "kind")
-    g = app.groupBy("document_id", "no", "block", "kind", "title").agg(F.array_sort(F.collect_list(F.struct("line_no", "app_line"))).alias("ls"))
-    text = F.array_join(F.transform("ls", lambda x: x["app_line"]), "\n")
-    g = g.withColumn("content", F.when(F.col("kind") == "table", T.clean_table(text)).otherwise(T.flatten(text))).where("content <> ''")
-    g = g.withColumn("pieces", T.split_long("content", limit))
-    g = g.select("document_id", "no", "block", "kind", "title", F.col("ls")[0]["line_no"].alias("at"), F.size("pieces").alias("n"), F.posexplode("pieces").alias("i", "content"))
-    g = g.withColumn("order", F.row_number().over(Window.partitionBy("document_id", "kind").orderBy("no", "block", "i")))
-    last = body.groupBy("document_id").agg(*[F.max_by(c, "line_no").alias(c) for c in ("part", "chapter", "section")])
-    g = g.join(last, "document_id", "left")
-    label = F.when(F.col("kind") == "table", "Bảng").otherwise("Nội dung phụ lục")
-    name = F.concat(F.coalesce("title", F.lit("Phụ lục")), F.lit(" - "), label, F.lit(" "), F.col("order").cast("string"), F.when(F.col("n") > 1, F.concat(F.lit(", phần "), (F.col("i") + 1).cast("string"))).otherwise(""))
-    suffix = F.concat(F.when(F.col("kind") == "table", "_bang").otherwise("_phu_luc"), F.format_string("_%04d_%02d", F.col("order").cast("int"), (F.col("i") + 1).cast("int")))
-    return g.select("document_id", F.lit("appendix").alias("scope"), "part", "chapter", "section", name.alias("articles"), "content", F.col("content").alias("body_text"), F.col("at").alias("chunk_at"), F.col("i").alias("sub"), suffix.alias("suffix"))
-
-
 def chunk(docs: DataFrame, least: int = 50, limit: int = 3000, sector: str | None = None) -> DataFrame:
     """docs: (document_id, content, document_number and other metadata). The chunks of all documents, with chunk_ord in document order.
 
@@ -186,17 +76,24 @@ def chunk(docs: DataFrame, least: int = 50, limit: int = 3000, sector: str | Non
     if "document_number" not in docs.columns:
         docs = docs.withColumn("document_number", F.lit(None).cast("string"))
     have = [c for c in METADATA if c in docs.columns and c != "document_number"]
-    rows = phases(lines(docs))
-    body = headings(rows)
-    parts = article_chunks(body, least).unionByName(appendix_chunks(rows, body, limit))
-    number = T.document_number("document_number")
-    meta = docs.select("document_id", number.alias("document_number"), *have, header_text(T.normalize_text("content")).alias("_header"))
-    parts = parts.join(meta, "document_id")
-    first = F.row_number().over(Window.partitionBy("document_id").orderBy(F.col("scope") != "article", "chunk_at", "sub"))
-    parts = parts.withColumn("_first", (first == 1) & (F.col("scope") == "article"))
-    linked = parts.withColumns({"_head_links": extract_links(F.when(F.col("_first"), F.col("_header")), "document_number", F.lit("document_header")), "link_to": extract_links("body_text", "document_number", "scope")})
-    linked = linked.withColumns({"link_to": F.when(F.col("_first"), merge_links(F.concat("_head_links", "link_to"))).otherwise(F.col("link_to")), "id": F.concat(T.ascii_id("document_id"), "suffix"), "chunk_ord": F.struct("document_id", "chunk_at", "sub")})
-    return linked.select("id", "document_id", "document_number", *have, "part", "chapter", "section", "articles", "content", "link_to", "chunk_ord")
+    docs = docs.select("document_id", T.document_number("document_number").alias("document_number"), *have, T.ascii_id("document_id").alias("_id"), "content")
+    links = StructType.fromDDL(f"x array<{LINK}>")["x"].dataType
+    kinds = {"link_to": links, "chunk_at": IntegerType(), "sub": IntegerType()}
+    out = StructType([*docs.schema.fields[:-1], *(StructField(c, kinds.get(c, StringType())) for c in Chunk._fields)])
+    arrow = [to_arrow_type(kinds.get(c, StringType())) for c in Chunk._fields]
+    kept = len(docs.columns) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = Parser(least, limit)
+        for part in slices(batches):
+            numbers, contents = part.column(1).to_pylist(), part.column(kept).to_pylist()
+            rows = [(i, c) for i, (n, t) in enumerate(zip(numbers, contents, strict=True)) for c in parser.chunks(t, n)]
+            at = pa.array([i for i, _ in rows], pa.int64())
+            made = [pa.array([c[k] for _, c in rows], kind) for k, kind in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([part.column(k).take(at) for k in range(kept)] + made, names=out.names)
+
+    order = F.struct("document_id", "chunk_at", "sub").alias("chunk_ord")
+    return docs.mapInArrow(run, out).select(F.concat("_id", "suffix").alias("id"), "document_id", "document_number", *have, "part", "chapter", "section", "articles", "content", "link_to", order)
 
 
 def chunk_statistics(chunks: DataFrame) -> DataFrame:

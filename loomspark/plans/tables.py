@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,3 +55,10 @@ def discard(*tables: DataFrame) -> None:
     """Remove materialised tables that nothing will read again."""
     for df in tables:
         remove(df.sparkSession, df.loom_path)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows, so that what Python makes of them stays small however long a batch is."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

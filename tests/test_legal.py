@@ -80,3 +80,38 @@ def test_components(spark):
     labels = {r.node: r.label for r in expand.component_labels(e).collect()}
     assert set(labels.values()) == {"100", "x"} and len(labels) == 43
     assert expand.largest_component(e).count() == 40
+
+
+def test_chunks_take_one_pass(spark):
+    """Documents are read once and where they lie: as windows over lines they were read three times and shuffled."""
+    rows = [(1, "12/2025/NĐ-CP", DOCUMENT)]
+    plan = chunker.chunk(spark.createDataFrame(rows, "document_id long, document_number string, content string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan ExistingRDD") == 1
+
+
+AWKWARD = """Điều 1. Trước mọi chương, ſ và ı
+nội dung một | hai dài hơn năm mươi ký tự để được giữ lại ở đây | ba
+CHƯƠNG I
+MỤC 1
+TÊN MỤC
+Điều 2a
+Sửa đổi điểm b khoản 1, khoản 2 và khoản 3 Điều 7 Thông tư 12/2019/TT-BTC. Bãi bỏ Luật số 5/2020/QH14; xem Mục II Phụ lục III.
+PHẦN II
+chữ sau đề mục không thuộc điều nào
+Chủ tịch ký; KÈM Nơi nhận: - Như trên; DANH MỤC kèm theo
+Phụ lục I. Mẫu
+| a | b |
+"""
+
+
+def test_awkward_document(spark):
+    """Titles on the line below, text that a heading cuts off, an appendix that begins inside a line, and links of each kind."""
+    got = {r["id"]: r for r in chunker.chunk(spark.createDataFrame([(7, "1/2/A", AWKWARD)], "document_id long, document_number string, content string"), 20).collect()}
+    assert set(got) == {"7_dieu_1_0001", "7_dieu_2a_0002", "7_phu_luc_0001_01", "7_phu_luc_0002_01", "7_bang_0001_01"}
+    assert got["7_dieu_1_0001"].content == "Điều 1. Trước mọi chương, ſ và ı. nội dung một; hai dài hơn năm mươi ký tự để được giữ lại ở đây; ba"
+    second = got["7_dieu_2a_0002"]
+    assert (second.part, second.chapter, second.section, second.articles) == (None, "CHƯƠNG I", "MỤC 1: TÊN MỤC", "Điều 2a")
+    assert [(x.relationship, x.document_number, x.article, x.clause, x.point, x.appendix, x.section) for x in second.link_to] == [("AMENDS", "12/2019/TT-BTC", "7", c, "b", None, None) for c in "123"] + [("REPEALS", "5/2020/QH14", None, None, None, None, None), ("REFERS_TO", "1/2/A", None, None, None, "III", "II")]
+    first = got["7_phu_luc_0001_01"]
+    assert (first.part, first.chapter, first.articles, first.content) == ("PHẦN II", None, "DANH MỤC - Nội dung phụ lục 1", "DANH MỤC kèm theo")
+    assert got["7_bang_0001_01"].articles == "Phụ lục I. Mẫu - Bảng 1"
