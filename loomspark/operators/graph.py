@@ -140,11 +140,14 @@ def build_nodes(chunks: DataFrame, links: DataFrame | None = None) -> DataFrame:
 
 
 def build_edges(chunks: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """All edges with ids, ordered by type, relationship and ends, with edge_pos."""
+    """All edges with ids, ordered by type, relationship and ends, with edge_pos.
+
+    They are written before they are numbered: ranges are sampled, numbered and joined back, and each would make all edges anew.
+    """
     documents = document_nodes(chunks)
     links = resolved_links(chunks, documents, number_index(documents)) if links is None else links
     edges = with_edge_ids(hierarchy_edges(article_rows(chunks)).unionByName(link_edges(links), allowMissingColumns=True))
-    return with_positions(edges, ["edge_type", "relationship", "source", "target"], "edge_pos", "edge_id")
+    return with_positions(materialise(edges, "edges"), ["edge_type", "relationship", "source", "target"], "edge_pos", "edge_id")
 
 
 def with_edge_ids(edges: DataFrame) -> DataFrame:

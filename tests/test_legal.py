@@ -1,9 +1,12 @@
 import hashlib
 import unicodedata
 
+import pyarrow as pa
 import pytest
 
 from loomspark.operators import chunker, expand, graph
+from loomspark.plans import tables
+from loomspark.queries import texts
 
 DOCUMENT = """NGHỊ ĐỊNH
 Căn cứ Luật số 43/2019/QH14;
@@ -115,3 +118,20 @@ def test_awkward_document(spark):
     first = got["7_phu_luc_0001_01"]
     assert (first.part, first.chapter, first.articles, first.content) == ("PHẦN II", None, "DANH MỤC - Nội dung phụ lục 1", "DANH MỤC kèm theo")
     assert got["7_bang_0001_01"].articles == "Phụ lục I. Mẫu - Bảng 1"
+
+
+def test_few_bytes_are_spread_over_cores(spark):
+    """Sixty times the customers are a file of some megabytes: one task would parse all their documents."""
+    assert texts.structured_documents(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_python_sees_few_rows_at_once():
+    batch = pa.RecordBatch.from_pydict({"x": list(range(10_000))})
+    parts = list(tables.slices(iter([batch])))
+    assert max(p.num_rows for p in parts) <= 256 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+
+
+def test_edges_are_written_before_they_are_numbered(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(graph, "materialise", lambda df, name: names.append(name) or tables.materialise(df, name))
+    assert graph.build_edges(tables.materialise(chunks(spark), "chunks")).count() == 8 and names == ["edges", "positions"]
