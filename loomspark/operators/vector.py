@@ -58,7 +58,10 @@ def hashed_encoder(text: Column | str, dims: int = 64) -> Column:
 
 
 def _block_top(asked: pa.Table, there: pa.Table, k: int, metric: str) -> pa.Table:
-    """(query_id, vec_id, score): rows that may be among the k best, of one block of queries and one of vectors of one length."""
+    """(query_id, vec_id, score): rows that may be among the k best, of one block of queries and one of vectors of one length.
+
+    Where both sides carry ``hashes``, only pairs that share one in its place count.
+    """
     matrix = lambda t, c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
     q, v = matrix(asked, "query"), matrix(there, "embedding")
     score = q @ v.T
@@ -66,8 +69,14 @@ def _block_top(asked: pa.Table, there: pa.Table, k: int, metric: str) -> pa.Tabl
         score = np.maximum((q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * score, 0.0)
     score = np.round(score, 6) + 0.0
     better = -score if metric == "l2" else score
+    met = None
+    if "hashes" in asked.schema.names:
+        met = np.zeros(score.shape, bool)
+        for a, b in zip(matrix(asked, "hashes").T, matrix(there, "hashes").T, strict=True):
+            met |= a[:, None] == b[None, :]
+        better = np.where(met, better, -np.inf)
     kth = np.partition(better, len(v) - k, axis=1)[:, len(v) - k] if k < len(v) else np.full(len(q), -np.inf)
-    i, j = np.nonzero(better >= kth[:, None])
+    i, j = np.nonzero(better >= kth[:, None] if met is None else (better >= kth[:, None]) & met)
     return pa.table({"query_id": asked["query_id"].take(pa.array(i)), "vec_id": there["vec_id"].take(pa.array(j)), "score": pa.array(score[i, j])})
 
 
@@ -76,10 +85,11 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
 
     vectors: (vec_id, embedding); queries: (query_id, query). Both sides are dealt into blocks; a block of queries meets each block of vectors as
     one matrix product, and only what may be among its k best goes on. Vectors that are null, or hold a null, take no part; only
-    equal lengths meet.
+    equal lengths meet. Where both sides carry ``hashes``, arrays of one length, only pairs that share one in its place count.
     """
+    hashed = [c for c in ("hashes",) if c in queries.columns and c in vectors.columns]
     whole = lambda df, c: df.where(F.col(c).isNotNull() & (F.size(c) > 0) & F.forall(c, lambda x: x.isNotNull())).withColumn("dim", F.size(c))
-    q, v = whole(queries.select("query_id", "query"), "query"), whole(vectors.select("vec_id", "embedding"), "embedding")
+    q, v = whole(queries.select("query_id", "query", *hashed), "query"), whole(vectors.select("vec_id", "embedding", *hashed), "embedding")
     blocks, query_blocks = (max(1, math.ceil(df.count() / n)) for df, n in ((v, block), (q, query_block)))
     number = lambda *c, n: F.pmod(F.xxhash64(*c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
@@ -104,18 +114,17 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
 def approximate_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bucket_length: float = 2.0, tables: int = 6) -> DataFrame:
     """(query_id, vec_id, score, rank) by random projections: an approximate search by squared distance; misses are possible.
 
-    A pair is compared if a projection puts both into one bucket in some table; pairs met in several tables are compared once.
+    A pair counts if a projection puts both into one bucket in some table. Near vectors share buckets, so nearly all pairs meet in one: as joined rows
+    they grow with queries times vectors. Here blocks of both sides meet, as in ``vector_top_k``, and only what may be among the k best goes on.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    v = vectors.select("vec_id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    q = queries.select("query_id", "query", array_to_vector(F.col("query").cast("array<double>")).alias("features"))
+    features = lambda df, c: df.withColumn("features", array_to_vector(F.col(c).cast("array<double>")))
+    v, q = features(vectors.select("vec_id", "embedding"), "embedding"), features(queries.select("query_id", "query"), "query")
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=7).fit(v)
-    bucket = lambda df: model.transform(df).select("*", F.posexplode("hashes").alias("t", "_h")).withColumn("h", vector_to_array("_h")[0]).drop("hashes", "_h", "features")
-    pairs = bucket(q).join(bucket(v).select("vec_id", "t", "h"), ["t", "h"]).select("query_id", "vec_id").distinct()
-    scored = pairs.join(queries.select("query_id", "query"), "query_id").join(vectors.select("vec_id", "embedding"), "vec_id")
-    return top_k(scored.select("query_id", "vec_id", F.round(squared_distance(F.col("query"), F.col("embedding")), 6).alias("score")), k, "vec_id", ascending=True)
+    bucket = lambda df: model.transform(df).withColumn("hashes", F.transform("hashes", lambda h: vector_to_array(h)[0])).drop("features")
+    return vector_top_k(bucket(v), bucket(q), k, "l2")
 
 
 def recall_of(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from loomspark.operators import evaluate, evidence, fusion, lexical
+from loomspark.operators import evaluate, evidence, fusion, lexical, vector
 
 
 def test_bm25(spark):
@@ -44,3 +45,15 @@ def test_evidence_caps_each_source(spark):
     rows = spark.createDataFrame([("q", "mức học phí", 1, "học phí", s), ("q", "mức học phí", 2, "", s), ("q", "mức học phí", 3, "", "")], "query_id string, query string, source_id long, title string, text string")
     got = evidence.ranked_evidence(rows).orderBy("rank").collect()
     assert [r.source_id for r in got] == [1, 1, 1, 2, 2, 2] and len({r.segment for r in got}) == 6
+
+
+def test_approximate_search_makes_no_rows_of_pairs(spark):
+    """Near vectors share buckets, so pairs as rows grow with queries times vectors; blocks of both meet instead. Buckets still decide."""
+    rows = [(i, [float(i % 7), float(i // 7)]) for i in range(70)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    wide, narrow = (vector.approximate_top_k(v, q, 5, bucket_length=b, tables=1) for b in (1e6, 1e-3))
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+    assert wide.count() >= 15 > narrow.count()
+    assert {(r.query_id, r.vec_id, r.score) for r in narrow.collect()} == {(i, i, 0.0) for i in range(3)}
