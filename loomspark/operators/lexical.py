@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +107,54 @@ def top_k(scores: DataFrame, k: int, id_column: str = "doc_id", ascending: bool
     return scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, **options) -> DataFrame:
+def _block_best(asked: pa.Table, there: pa.Table, k: int) -> pa.Table:
+    """(query_id, doc_id, score): documents that may be among the k best of each query, of one block of queries and all postings of one of documents."""
+    encode = lambda c: c.combine_chunks().dictionary_encode(null_encoding="encode")
+    queries, terms, docs = encode(asked["query_id"]), encode(asked["term"]), encode(there["doc_id"])
+    weights = np.zeros((len(terms.dictionary), len(queries.dictionary)))
+    np.add.at(weights, (terms.indices.to_numpy(), queries.indices.to_numpy()), asked["w"].to_numpy())
+    term = pc.index_in(there["term"].combine_chunks(), value_set=terms.dictionary).fill_null(-1).to_numpy()
+    order = np.argsort(docs.indices.to_numpy(), kind="stable")
+    order = order[term[order] >= 0]
+    held, doc, tf = term[order], docs.indices.to_numpy()[order], there["tf"].to_numpy()[order]
+    score = np.zeros((len(docs.dictionary), weights.shape[1]))
+    for at in range(0, len(order), 8192):
+        part = slice(at, at + 8192)
+        starts = np.flatnonzero(np.r_[True, np.diff(doc[part]) != 0])
+        score[doc[part][starts]] += np.add.reduceat(weights[held[part]] * tf[part, None], starts, axis=0)
+    # Scores are rounded after this: what rounding may lift to the k-th stays.
+    kth = np.partition(score, len(score) - k, axis=0)[len(score) - k] if k < len(score) else np.zeros(score.shape[1])
+    i, j = np.nonzero((score >= kth - 2e-6) & (score > 0))
+    return pa.table({"query_id": queries.dictionary.take(pa.array(j)), "doc_id": docs.dictionary.take(pa.array(i)), "score": pa.array(score[i, j])})
+
+
+def index_top_k(index: Index, asked: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, block: int = 4096, query_block: int = 256) -> DataFrame:
+    """(query_id, doc_id, score, rank): ``top_k`` of the positive ``index_scores``, without a row for each query and document that share a term.
+
+    Nearly every document shares some term with every query. So postings of the queries' terms are dealt into blocks of documents, terms into blocks of
+    queries, and two blocks meet as a product; only what may be among a block's k best goes on.
+    """
+    idf = F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    blocks, query_blocks = (max(1, math.ceil(n / size)) for n, size in ((index.n, block), (asked.select("query_id").distinct().count(), query_block)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    tf = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.avgdl)))
+    q = asked.join(index.df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"), number("query_id", query_blocks).alias("qb"), every(blocks).alias("b"))
+    p = index.postings.join(asked.select("term").distinct(), "term", "left_semi").select("doc_id", "term", tf.alias("tf"), number("doc_id", blocks).alias("b"), every(query_blocks).alias("qb"))
+    keys, tasks = ("b", "qb"), min(4 * blocks * query_blocks, 1 << 14)
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((q, "query_id"), (p, "doc_id"))]
+
+    def run(mine: pa.Table, there: pa.Table) -> pa.Table:
+        if not mine.num_rows or not there.num_rows:
+            ids = {c: t.schema.field(c).type for c, t in (("query_id", mine), ("doc_id", there)) if c in t.schema.names}
+            return pa.table({c: pa.array([], ids.get(c, pa.null())) for c in ("query_id", "doc_id")} | {"score": pa.array([], pa.float64())})
+        return _block_best(mine, there, k)
+
+    met = q.toDF(*q.columns).repartition(tasks, *keys).groupBy(*keys).cogroup(p.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+    return top_k(met.withColumn("score", F.round("score", 6)).where("score > 0"), k)
+
+
+def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", query: str = "query", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank): positive scores only."""
-    return top_k(bm25_scores(docs, queries, **options).where("score > 0"), k)
+    asked = query_terms(queries, query_id, query)
+    return index_top_k(build_index(docs, None, doc_id, text, asked.select("term").distinct()), asked, k, k1, b)

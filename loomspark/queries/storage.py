@@ -115,7 +115,7 @@ def bm25_stored_index(spark: SparkSession, d: str) -> DataFrame:
     path = shared_path(spark, "bm25")
     lexical.build_index(_t(spark, d, "documents"), path)
     asked = lexical.query_terms(retrieval._items(spark, d))
-    return lexical.top_k(lexical.index_scores(lexical.load_index(spark, path), asked).where("score > 0"), 10)
+    return lexical.index_top_k(lexical.load_index(spark, path), asked, 10)
 
 
 @query(f"""WITH {texts.LEGAL} SELECT 'node_type' AS what, node_type AS name, count(*)::BIGINT AS n FROM nodes GROUP BY ALL
