@@ -2,6 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.operators import evaluate, evidence, fusion, lexical, vector
+from loomspark.queries import retrieval as queries
+
+PER_QUERY = evaluate.per_query
 
 
 def test_bm25(spark):
@@ -57,3 +60,24 @@ def test_approximate_search_makes_no_rows_of_pairs(spark):
     assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
     assert wide.count() >= 15 > narrow.count()
     assert {(r.query_id, r.vec_id, r.score) for r in narrow.collect()} == {(i, i, 0.0) for i in range(3)}
+
+
+@pytest.mark.parametrize("block, query_block", [(4096, 256), (3, 2)])
+def test_bm25_in_blocks(spark, block, query_block):
+    """Blocks find what scores of all pairs give: with repeated ids and texts, a null id, repeated words and ties at the last place."""
+    words = "học phí quyền thuế luật".split()
+    rows = [(i // 2 if i % 5 == 0 else i, " ".join(words[(i * j) % 5] for j in range(1, 2 + i % 7))) for i in range(40)] + [(None, "học học"), (50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = lexical.query_terms(spark.createDataFrame([(f"q{i}", " ".join(words[i:] + words[:1])) for i in range(5)] + [("none", "vắng")], "query_id string, query string"))
+    index = lexical.build_index(docs)
+    want = lexical.top_k(lexical.index_scores(index, asked).where("score > 0"), 4)
+    got = lexical.index_top_k(index, asked, 4, block=block, query_block=query_block)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 20
+
+
+def test_grid_relevance_makes_no_row_for_each_pair(spark, monkeypatch):
+    """Vectors of one label are all relevant to each other: only pairs that a list holds are made, and the others are counted."""
+    seen = []
+    monkeypatch.setattr(evaluate, "per_query", lambda ranked, relevant, *a, **k: seen.append(relevant.count()) or PER_QUERY(ranked, relevant, *a, **k))
+    assert queries.grid_search_best(spark, "/root/testdata/sf0.001").count() == 1
+    assert seen and seen[0] <= 25 * 40
