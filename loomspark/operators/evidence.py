@@ -44,7 +44,8 @@ def ranked_evidence(results: DataFrame, limit: int = 8, per_source: int = 3) ->
     """(query_id, rank, source_id, segment, score): best segments first, each text once, at most ``per_source`` a source.
 
     A text left out because its source is full may still come from another source, so the choice is a fold over a query's
-    segments in order; they are at most those of its retrieved texts.
+    segments in order; they are at most those of its retrieved texts. Segments are told as they were cut: the first 600 characters of a text may end
+    in a blank.
     """
     s = segments(results).select("query_id", "source_id", "pos", "segment", F.round(relevance(F.col("terms"), F.col("phrases"), F.col("title_terms"), F.col("segment"), F.col("source_id")), 6).alias("score"), F.lower(T.collapse("segment")).alias("plain")).where("plain <> ''")
     # Of one text in one source the first stands for all; the fold then meets few rows.
@@ -62,7 +63,7 @@ def ranked_evidence(results: DataFrame, limit: int = 8, per_source: int = 3) ->
         return F.when((F.size(chosen) >= limit) | full | again, chosen).otherwise(F.concat(chosen, F.array(x)))
 
     g = g.select("query_id", F.posexplode(F.aggregate("c", F.array().cast(kind), take)).alias("i", "x"))
-    return g.select("query_id", (F.col("i") + 1).cast("long").alias("rank"), "x.source_id", T.collapse(F.col("x.segment")).alias("segment"), (-F.col("x.minus")).alias("score"))
+    return g.select("query_id", (F.col("i") + 1).cast("long").alias("rank"), "x.source_id", "x.segment", (-F.col("x.minus")).alias("score"))
 
 
 def has_evidence(ranked: DataFrame, threshold: float = 0.16) -> DataFrame:
@@ -229,7 +230,7 @@ def extractive_answer(results: DataFrame, limit: int = 7, most: int = 4) -> Data
     The ``limit`` best segments are shortened, and the first ``most`` distinct ones are told.
     """
     ranked = ranked_evidence(results, limit)
-    own = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "segment"))), lambda x: shortened(x["segment"])), 1, most)
+    own = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "segment"))), lambda x: shortened(T.collapse(x["segment"]))), 1, most)
     told = ranked.groupBy("query_id").agg(own.alias("s"))
     dotted = lambda x: F.concat(F.rtrim(x, F.lit(".")), F.lit("."))
     more = F.transform(F.slice("s", F.lit(2), F.lit(most)), lambda x: F.concat(F.lit("- "), dotted(x)))

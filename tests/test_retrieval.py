@@ -81,3 +81,12 @@ def test_grid_relevance_makes_no_row_for_each_pair(spark, monkeypatch):
     monkeypatch.setattr(evaluate, "per_query", lambda ranked, relevant, *a, **k: seen.append(relevant.count()) or PER_QUERY(ranked, relevant, *a, **k))
     assert queries.grid_search_best(spark, "/root/testdata/sf0.001").count() == 1
     assert seen and seen[0] <= 25 * 40
+
+
+def test_first_characters_stay_as_they_are_cut(spark):
+    """A text without a sentence of 18 characters gives its first 600; where these end in a blank, as here, the blank is part of them (SQL: left)."""
+    text = "ABC!! DEFG! " * 60
+    assert text[599] == " "
+    r = spark.createDataFrame([("q", "abc", 1, "", text)], "query_id string, query string, source_id int, title string, text string")
+    assert evidence.ranked_evidence(r).first().segment == text[:600]
+    assert evidence.extractive_answer(r).count() == 1
